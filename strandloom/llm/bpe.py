@@ -22,7 +22,7 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from strandloom.runtime import ship
+from strandloom.runtime import Scratch, ship
 
 #: Pre-tokens remembered per worker, in each of two generations.
 CACHE = 300_000
@@ -214,4 +214,5 @@ def digest_documents(docs: DataFrame, *, path: str | None = None, name: str = "b
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInPandas(_digests(path, None if path else name), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out = rows.mapInPandas(_digests(path, None if path else name), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return Scratch(docs.sparkSession, "bpe").save(out, "digests")  # written at once: small batches bound the workers' memory

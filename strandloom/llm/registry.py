@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandloom.llm import bpe, chat, embeddings, media, sharding
+from strandloom.llm import bpe, chat, embeddings, media, packing, sharding
 from strandloom.runtime import table
 
 
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op2_embedding_dedup": lambda spark, d: embeddings.dedup_embeddings(table(spark, d, "embeddings")),
         "op4_media_columns": lambda spark, d: media.document_media(table(spark, d, "documents")),
         "op6_byte_bpe": lambda spark, d: bpe.digest_documents(table(spark, d, "documents")),
+        "op7_pattern_packing": lambda spark, d: packing.pack_documents(table(spark, d, "documents")),
         "op9_chat_format": lambda spark, d: chat.op9(spark, table(spark, d, "conversations")),
     }
 
