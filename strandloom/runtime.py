@@ -9,6 +9,7 @@ neither heap nor a growing lineage.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import pathlib
 import tempfile
 import uuid
@@ -54,6 +55,24 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 256, size: str = "8m"):
+    """Arrow batches of few rows for jobs started inside: whole texts go to Python, so rows, not only counts, are large.
+
+    Batches have no influence on results; the session's own settings come back afterwards.
+    """
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    had = {}
+    for k, v in wanted.items():
+        had[k] = spark.conf.get(k, None)
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in had.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 class Scratch:
     """Tables of one run below the shared folder; ``drop`` them as soon as nothing reads them any more.
 
@@ -75,7 +94,8 @@ class Scratch:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return the table read back with the schema that was written (no inference job)."""
         path = self.path(name)
-        df.write.parquet(path)
+        with small_batches(self.spark):
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(out)] = path
         out._scratch_path = path
