@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandloom.llm import bpe, chat, embeddings, media, packing, sharding
+from strandloom.llm import bpe, chat, embeddings, media, packing, quality, sharding
 from strandloom.runtime import table
 
 
@@ -10,6 +10,7 @@ def queries() -> dict:
     return {
         "op1_sharding": lambda spark, d: sharding.shard_documents(table(spark, d, "documents"), 24),
         "op2_embedding_dedup": lambda spark, d: embeddings.dedup_embeddings(table(spark, d, "embeddings")),
+        "op3_importance_resampling": lambda spark, d: quality.select_documents(table(spark, d, "documents"), table(spark, d, "labels")),
         "op4_media_columns": lambda spark, d: media.document_media(table(spark, d, "documents")),
         "op6_byte_bpe": lambda spark, d: bpe.digest_documents(table(spark, d, "documents")),
         "op7_pattern_packing": lambda spark, d: packing.pack_documents(table(spark, d, "documents")),
