@@ -83,35 +83,35 @@ def chosen_paths(messages: DataFrame, branches: int, scratch: Scratch) -> DataFr
     known = nodes.select(F.col("tree").alias("t2"), F.col("node").alias("p2"))
     here = (F.col("tree").eqNullSafe(F.col("t2"))) & (F.col("parent") == F.col("p2"))
     linked = nodes.join(known, here, "left").select("tree", "node", F.col("p2").alias("parent"), "score")
-    # jump: the ancestor 2^k above (null: there is none); hops and total: messages from here up to just below it.
-    jumps = scratch.save(linked.select("tree", "node", F.col("parent").alias("jump"), F.lit(1).cast("long").alias("hops"), F.col("score").alias("total"), F.lit(None).cast("long").alias("root")).withColumn("root", F.when(F.col("jump").isNull(), F.col("node"))), "jumps")
-    levels, left = [jumps], jumps.filter("jump is not null").count()
-    while left:
-        a, b = levels[-1].alias("a"), levels[-1].alias("b")
-        on = F.col("a.tree").eqNullSafe(F.col("b.tree")) & (F.col("a.jump") == F.col("b.node"))
-        nxt = a.join(b, on, "left").select(
-            "a.tree", "a.node", F.col("b.jump").alias("jump"), (F.col("a.hops") + F.coalesce("b.hops", F.lit(0))).alias("hops"), (F.col("a.total") + F.coalesce("b.total", F.lit(0.0))).alias("total"), F.coalesce("a.root", "b.root").alias("root")
-        )
-        levels.append(scratch.save(nxt, "jumps"))
-        now = levels[-1].filter("jump is not null").agg(F.count("*"), F.max("hops")).first()
-        if now[0] and now[1] > 2 * messages.count():  # only cycles are left
+    # jump: the ancestor 2^k above; hops and total: messages from here up to just below it. A row whose
+    # jump has left the tree is done and moves over to ``full``, so each round only joins rows that are still climbing.
+    live = linked.filter("parent is not null").select("tree", "node", F.col("parent").alias("jump"), F.lit(1).cast("long").alias("hops"), F.col("score").alias("total"))
+    live = scratch.save(live, "jumps")
+    full = scratch.save(linked.filter("parent is null").select("tree", "node", F.lit(1).cast("long").alias("hops"), F.col("score").alias("total"), F.col("node").alias("root")), "full")
+    levels, limit = [], 2 * messages.count()
+    while True:
+        left, hops = live.agg(F.count("*"), F.max("hops")).first()
+        if not left or hops > limit:  # all have a root, or those left go round in cycles
             break
-        left = now[0]
-    full = levels[-1].filter("jump is null")
+        levels.append(live)
+        every = live.withColumn("root", F.lit(None).cast("long")).unionByName(full.withColumn("jump", F.lit(None).cast("long")))
+        a, b = live.alias("a"), every.alias("b")
+        on = F.col("a.tree").eqNullSafe(F.col("b.tree")) & (F.col("a.jump") == F.col("b.node"))
+        nxt = a.join(b, on).select("a.tree", "a.node", "b.jump", (F.col("a.hops") + F.col("b.hops")).alias("hops"), (F.col("a.total") + F.col("b.total")).alias("total"), "b.root")
+        nxt = scratch.save(nxt, "step")
+        live = nxt.filter("jump is not null").drop("root")
+        full = full.unionByName(nxt.filter("jump is null").drop("jump"))
     inner = linked.filter("parent is not null").select("tree", F.col("parent").alias("node")).distinct()
     leaves = full.join(inner, full["tree"].eqNullSafe(inner["tree"]) & (full["node"] == inner["node"]), "left_anti")
     best = Window.partitionBy("tree", "root").orderBy(F.desc(F.col("total") / F.col("hops")), "node")
     leaves = leaves.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= branches)
     path = scratch.save(leaves.select("tree", F.col("node").alias("leaf"), "rank", "node", F.lit(0).cast("long").alias("up"), F.col("hops").alias("length")), "path")
-    # Ancestors by doubling: after level k, the path holds the 2^(k+1) lowest messages.
-    for k, level in enumerate(levels[:-1]):
+    # Ancestors by doubling: with level k, the path's 2^k lowest messages find the next 2^k.
+    for k, level in enumerate(levels):
         p, j = path.alias("p"), level.alias("j")
-        more = p.join(j, F.col("p.tree").eqNullSafe(F.col("j.tree")) & (F.col("p.node") == F.col("j.node")) & F.col("j.jump").isNotNull())
+        more = p.join(j, F.col("p.tree").eqNullSafe(F.col("j.tree")) & (F.col("p.node") == F.col("j.node")))
         more = more.select("p.tree", "p.leaf", "p.rank", F.col("j.jump").alias("node"), (F.col("p.up") + F.lit(2**k)).alias("up"), "p.length")
-        grown = scratch.save(path.unionByName(more), "path")
-        scratch.drop(path)
-        path = grown
-    scratch.drop(*levels)
+        path = path.unionByName(scratch.save(more, "path"))
     return path.select("tree", "leaf", "rank", "node", (F.col("length") - 1 - F.col("up")).alias("depth"))
 
 
