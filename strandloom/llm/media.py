@@ -95,18 +95,18 @@ class TarShard:
         store.create_dir(path.rpartition("/")[0], recursive=True)
         self.out = store.open_output_stream(path)
         self.at = 0
-        self.known: dict[str, tuple[int, int, str]] = {}
+        self.known: dict[bytes, tuple[int, int, bytes]] = {}
 
-    def put(self, digest: str, payload: bytes) -> tuple[int, int, str]:
+    def put(self, digest: bytes, payload: bytes) -> tuple[int, int, bytes]:
         """Offset and length of the stored form, and its SHA-256."""
         found = self.known.get(digest)
         if found is None:
             data = to_png(payload)
-            info = tarfile.TarInfo(f"{digest}.png")
+            info = tarfile.TarInfo(f"{digest.hex()}.png")
             info.size = len(data)
             head = info.tobuf(tarfile.USTAR_FORMAT)
             self.out.write(head + data + b"\0" * (-len(data) % 512))
-            found = self.known[digest] = (self.at + len(head), len(data), hashlib.sha256(data).hexdigest())
+            found = self.known[digest] = (self.at + len(head), len(data), hashlib.sha256(data).digest())
             self.at += len(head) + len(data) + (-len(data) % 512)
         return found
 
@@ -126,7 +126,7 @@ def _store(root: str, limit: int):
                         shard.close()
                     shard = TarShard(root, "shard")
                 payload, n = payload_of(text)
-                digest = hashlib.sha256(payload).hexdigest()
+                digest = hashlib.sha256(payload).digest()
                 offset, length, stored = shard.put(digest, payload)
                 rows.append((doc_id, n, digest, shard.name, offset, length, stored))
             yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "digest", "shard", "offset", "length", "media_sha256"])
@@ -170,23 +170,29 @@ def _features(root: str):
         for pdf in batches:
             rows = []
             for x in pdf.itertuples():
-                data = r.read(x.shard, x.offset, x.length)
-                if hashlib.sha256(data).hexdigest() != x.media_sha256:
+                head = r.read(x.shard, x.offset, HEADER_BYTES)
+                data = head + r.read(x.shard, x.offset + HEADER_BYTES, x.length - HEADER_BYTES)
+                stored = hashlib.sha256(data)
+                if stored.digest() != x.media_sha256:
                     raise OSError(f"{x.shard} at {x.offset}: stored bytes differ from their digest")
                 p = from_png(data)
-                rows.append((x.digest, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature_of(p)))
-            yield pd.DataFrame(rows, columns=["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                rows.append((x.digest, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(data), stored.hexdigest(), feature_of(p), x.shard, x.offset, *png_header(head)))
+            yield pd.DataFrame(rows, columns=FEATURES)
 
     return features
 
 
+FEATURES = ["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "shard", "media_offset", "width", "height", "bit_depth"]
+FEATURE_SCHEMA = "digest binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, shard string, media_offset long, width long, height long, bit_depth int"
+
+
 def store_documents(docs: DataFrame, scratch: Scratch, *, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame, str]:
     """Writes the payloads. Returns the rows (doc_id, n_bytes, digest), the objects (digest, shard,
     offset, length, media_sha256; one per content) and the folder of the shards."""
     ship(docs.sparkSession)
     root = f"{scratch.root}/shards"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    index = rows.mapInPandas(_store(root, shard_bytes), "doc_id long, n_bytes long, digest string, shard string, offset long, length long, media_sha256 string")
+    index = rows.mapInPandas(_store(root, shard_bytes), "doc_id long, n_bytes long, digest binary, shard string, offset long, length long, media_sha256 binary")
     index = scratch.save(index, "index")
     objects = index.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length", "media_sha256")).alias("o")).select("digest", "o.*")
     return index.select("doc_id", "n_bytes", "digest"), objects, root
@@ -199,21 +205,20 @@ def _in_order(objects: DataFrame) -> DataFrame:
 
 def media_columns(objects: DataFrame, root: str) -> DataFrame:
     """objects with width, height and bit_depth from header-only range reads."""
-    return _in_order(objects).mapInPandas(_probe(root), "digest string, shard string, offset long, length long, media_sha256 string, width long, height long, bit_depth int")
+    return _in_order(objects).mapInPandas(_probe(root), "digest binary, shard string, offset long, length long, media_sha256 binary, width long, height long, bit_depth int")
 
 
 def document_media(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
-    media_sha256, feature, then digest, shard, media_offset, width, height, bit_depth.
+    media_sha256, feature, then shard, media_offset, width, height, bit_depth, digest.
 
     Null texts are stored as empty ones; equal texts share one object. Repeated rows each
     give a row; an empty table gives an empty table; further columns are not carried.
     """
     scratch = Scratch(docs.sparkSession, "media")
     rows, objects, root = store_documents(docs, scratch)
-    objects = scratch.save(media_columns(objects, root), "objects")
-    read = _in_order(objects).mapInPandas(_features(root), "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
-    read = scratch.save(read, "features")
-    known = read.join(objects.select("digest", "shard", F.col("offset").alias("media_offset"), "width", "height", "bit_depth"), "digest").withColumn("h", F.xxhash64("digest"))
+    # One task reads an object's header and then its payload: the objects are dealt out once for both.
+    read = scratch.save(_in_order(objects).mapInPandas(_features(root), FEATURE_SCHEMA), "features")
+    known = read.withColumn("h", F.xxhash64("digest"))
     out = rows.withColumn("h", F.xxhash64("digest")).join(known, ["h", "digest"])
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "digest", "shard", "media_offset", "width", "height", "bit_depth")
+    return out.select("doc_id", "n_bytes", *(F.lower(F.hex("digest")).alias("digest") if c == "digest" else F.col(c) for c in [*FEATURES[1:], "digest"]))
