@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandloom.llm import bpe, chat, embeddings, linededup, media, packing, quality, sharding
+from strandloom.llm import bpe, chat, embeddings, linededup, media, minhash, packing, quality, sharding
 from strandloom.runtime import table
 
 
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op4_media_columns": lambda spark, d: media.document_media(table(spark, d, "documents")),
         "op6_byte_bpe": lambda spark, d: bpe.digest_documents(table(spark, d, "documents")),
         "op7_pattern_packing": lambda spark, d: packing.pack_documents(table(spark, d, "documents")),
+        "op8_minhash_dedup": lambda spark, d: minhash.near_duplicates(table(spark, d, "documents")),
         "op9_chat_format": lambda spark, d: chat.op9(spark, table(spark, d, "conversations")),
         "op10_line_templates": lambda spark, d: linededup.op10(table(spark, d, "documents")),
     }
