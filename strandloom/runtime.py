@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import pathlib
 import tempfile
 import uuid
@@ -107,6 +108,11 @@ class Scratch:
             if path:
                 remove(self.spark, path)
 
+    def release(self) -> None:
+        """Let Spark delete shuffle files that no live DataFrame needs, now instead of at the driver's next collection."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def _forget(self) -> None:
         try:
             if self.spark.sparkContext._jsc is not None:
