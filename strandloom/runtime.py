@@ -108,6 +108,10 @@ class Scratch:
             if path:
                 remove(self.spark, path)
 
+    def clear(self) -> None:
+        """Delete all tables and files of this run."""
+        remove(self.spark, self.root)
+
     def release(self) -> None:
         """Let Spark delete shuffle files that no live DataFrame needs, now instead of at the driver's next collection."""
         gc.collect()
