@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandloom.llm import bpe, chat, embeddings, linededup, media, minhash, packing, quality, sharding
+from strandloom.llm import bpe, chat, embeddings, licenses, linededup, media, minhash, packing, quality, sharding
 from strandloom.runtime import table
 
 
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op2_embedding_dedup": lambda spark, d: embeddings.dedup_embeddings(table(spark, d, "embeddings")),
         "op3_importance_resampling": lambda spark, d: quality.select_documents(table(spark, d, "documents"), table(spark, d, "labels")),
         "op4_media_columns": lambda spark, d: media.document_media(table(spark, d, "documents")),
+        "op5_license_scan": lambda spark, d: licenses.scan_licenses(table(spark, d, "documents")),
         "op6_byte_bpe": lambda spark, d: bpe.digest_documents(table(spark, d, "documents")),
         "op7_pattern_packing": lambda spark, d: packing.pack_documents(table(spark, d, "documents")),
         "op8_minhash_dedup": lambda spark, d: minhash.near_duplicates(table(spark, d, "documents")),
@@ -21,4 +22,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op9_chat_format": chat.ORACLE_SQL}
+    return {"op5_license_scan": licenses.oracle_sql(), "op9_chat_format": chat.ORACLE_SQL}
