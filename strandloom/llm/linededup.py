@@ -2,10 +2,13 @@
 
 Lines are parsed by a log-template tree of fixed depth (after He et al., "Drain", 2017): the first level is
 the number of tokens, the next DEPTH levels are the leading tokens, with tokens that hold digits
-generalised.  Within a leaf the template keeps a token at a position only where enough of the
-leaf's lines have it; the rest are variable fields.  A line belongs to its template if enough of its tokens
-are kept.  Everything is counted over all documents by grouped sums, in SQL functions only, and
-does not depend on the order of lines, so no leaf is ever gathered into one task.
+generalised.  The template of a leaf keeps a token at a position where most of the
+leaf's lines have it; other positions are variable fields.  A line belongs to the template if enough of its
+tokens agree with it; a line that does not is a template by itself.  Everything is counted over all documents
+by grouped sums and does not depend on the order of lines, so no leaf is ever gathered into one task.
+
+Most leaves hold one line only, whose template is the line: tokens are looked at again only
+for the distinct lines of the other leaves.
 
 Of a template that occurs in several documents the first line (smallest doc_id, then
 line number) stays and all other occurrences go.
@@ -13,76 +16,116 @@ line number) stays and all other occurrences go.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame, functions as F
 
-from strandloom.runtime import Scratch
+from strandloom.runtime import Scratch, ship
 
 DEPTH = 4  # leading tokens that choose the leaf; lines with no more tokens than that are left alone
 MIN_DOCS = 2  # documents that make a template recurrent
-SUPPORT = 0.5  # share of a leaf's lines that make a token constant
-SIMILAR = 0.6  # share of constant tokens that a line needs
-FIELD = "<*>"
+SIMILAR = 0.7  # share of a line's tokens that agree with its leaf's template
+FIELD = b"<*>"
+_DIGIT = re.compile(rb"[0-9]")
+
+
+def tokens_of(line: bytes) -> list[bytes]:
+    """Tokens between runs of ASCII white space, those with digits generalised."""
+    tokens = line.split()
+    if _DIGIT.search(line):
+        tokens = [FIELD if _DIGIT.search(t) else t for t in tokens]
+    return tokens
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def hashes_of(tokens: list[bytes]) -> tuple[int, int]:
+    """Leaf and whole line."""
+    head = b" ".join([b"%d" % len(tokens), *tokens[:DEPTH]])
+    return _signed(xxhash.xxh64_intdigest(head, 1)), _signed(xxhash.xxh64_intdigest(b" ".join(tokens), 2))
 
 
-def _tokens(line: Column) -> Column:
-    """Tokens between runs of ASCII white space, digits generalised."""
-    parts = F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda t: t != "")
-    return F.transform(parts, lambda t: F.when(t.rlike("[0-9]"), F.lit(FIELD)).otherwise(t))
+def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = []
+        for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+            for k, line in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n")):
+                tokens = tokens_of(line)
+                if len(tokens) > DEPTH:
+                    rows.append((doc_id, k, *hashes_of(tokens)))
+        yield pd.DataFrame(rows, columns=["doc_id", "line_no", "leaf", "line"])
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line, leaf) of the lines that have a leaf. Lines travel as text, which is far smaller than their tokens."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    # Cheap test before tokens are made: a line of DEPTH + 1 tokens has as many letters and spaces between.
-    rows = rows.filter(F.length("line") > 2 * DEPTH).withColumn("tokens", _tokens(F.col("line")))
-    rows = rows.filter(F.size("tokens") > DEPTH)
-    return rows.withColumn("leaf", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH))).drop("tokens")
+def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Token hashes of the wanted lines of each text."""
+    for pdf in batches:
+        rows = []
+        for text, wanted in zip(pdf["text"], pdf["wanted"], strict=True):
+            lines = text.encode("utf-8", "surrogatepass").split(b"\n")
+            for w in wanted:
+                tokens = tokens_of(lines[w["line_no"]]) if w["line_no"] < len(lines) else []
+                if hashes_of(tokens) == (w["leaf"], w["line"]):  # else it is a line of another row with this doc_id
+                    rows.append((w["leaf"], w["line"], [_signed(xxhash.xxh64_intdigest(t)) for t in tokens]))
+        yield pd.DataFrame(rows, columns=["leaf", "line", "tokens"])
 
 
-def line_templates(docs: DataFrame, scratch: Scratch, *, min_docs: int = MIN_DOCS, support: float = SUPPORT, similar: float = SIMILAR) -> DataFrame:
+def line_templates(docs: DataFrame, scratch: Scratch, *, min_docs: int = MIN_DOCS, similar: float = SIMILAR) -> DataFrame:
     """(doc_id, line_no, template, n_docs, first_doc, first_line) for the occurrences of recurrent templates."""
-    lines = _lines(docs)
-    # Leaves of several documents, from hashes alone; a leaf within one document can hold no recurrent template.
-    shared = lines.groupBy("leaf").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("leaf")
-    found = lines.withColumn("h", F.xxhash64("leaf")).join(shared.withColumn("h", F.xxhash64("leaf")), ["leaf", "h"]).drop("h")
-    found = scratch.save(found.withColumn("tokens", _tokens(F.col("line"))).withColumn("line", F.xxhash64("tokens")), "shared")
-    # Equal lines become one row with a weight before anything is counted by token.
-    distinct = found.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.first("tokens").alias("tokens"))
+    ship(docs.sparkSession)
+    rows = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    lines = scratch.save(rows.mapInPandas(_lines, "doc_id long, line_no int, leaf long, line long"), "lines")
+    # Equal lines become one row; hot lines shrink before the shuffle.
+    distinct = lines.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line_no")).alias("first"), F.max("doc_id").alias("hi"))
     distinct = scratch.save(distinct, "distinct")
-    sizes = distinct.groupBy("leaf").agg(F.sum("n").alias("total"))
-    words = distinct.select("leaf", "line", "n", F.posexplode("tokens").alias("at", "token")).select("leaf", "line", "n", "at", F.xxhash64("token").alias("token"))
-    common = words.groupBy("leaf", "at", "token").agg(F.sum("n").alias("have"))
-    common = common.join(sizes, "leaf").filter(F.col("have") >= F.lit(support) * F.col("total")).select("leaf", "at", "token")
-    constant = words.join(common, ["leaf", "at", "token"]).groupBy("leaf", "line").agg(F.array_sort(F.collect_list("at")).alias("constant"))
-    size = F.size("tokens")
-    template = F.xxhash64("leaf", F.transform("constant", lambda i: F.xxhash64(i, F.get("tokens", i))))
-    shaped = distinct.join(constant, ["leaf", "line"]).filter(F.size("constant") >= F.ceil(F.lit(similar) * size)).select("leaf", "line", template.alias("template"))
-    placed = scratch.save(found.select("leaf", "line", "doc_id", "line_no").withColumn("h", F.xxhash64("line")).join(shaped.withColumn("h", F.xxhash64("line")), ["leaf", "line", "h"]).select("template", "doc_id", "line_no"), "placed")
-    first = F.min(F.struct("doc_id", "line_no")).alias("first")
+    leaves = distinct.groupBy("leaf").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.min("first.doc_id").alias("lo"), F.max("hi").alias("hi"))
+    # A leaf within one document can hold no recurrent template.
+    leaves = leaves.filter("lo < hi").select("leaf", "total", "kinds", F.xxhash64("leaf").alias("h"))
+    shared = scratch.save(distinct.withColumn("h", F.xxhash64("leaf")).join(leaves, ["leaf", "h"]).select("leaf", "line", "n", "first", "total", "kinds"), "shared")
+    scratch.drop(distinct)
+    wanted = shared.filter("kinds > 1").select(F.col("first.doc_id").alias("id"), F.struct("first.line_no", "leaf", "line").alias("w")).groupBy("id").agg(F.collect_list("w").alias("wanted"))
+    found = rows.join(wanted, F.col("doc_id") == F.col("id")).select("text", "wanted").mapInPandas(_words, "leaf long, line long, tokens array<long>")
+    found = scratch.save(found, "tokens")
+    scratch.release()
+    found = found.dropDuplicates(["leaf", "line"]).join(shared.select("leaf", "line", "n", "total"), ["leaf", "line"])
+    words = found.select("leaf", "line", "n", "total", F.posexplode("tokens").alias("at", "token"))
+    most = words.groupBy("leaf", "at", "token", "total").agg(F.sum("n").alias("have")).filter(2 * F.col("have") > F.col("total")).select("leaf", "at", "token")
+    agree = words.withColumn("h", F.xxhash64("leaf")).join(most.withColumn("h", F.xxhash64("leaf")), ["leaf", "at", "token", "h"]).groupBy("leaf", "line").agg(F.count("*").alias("agree"))
+    size = found.select("leaf", "line", F.size("tokens").alias("size"))
+    main = size.join(agree, ["leaf", "line"]).filter(F.col("agree") >= F.lit(similar) * F.col("size")).select("leaf", "line", F.lit(True).alias("main"))
+    template = F.when(F.col("main"), F.xxhash64("leaf", F.lit("leaf"))).otherwise(F.xxhash64("leaf", "line"))
+    named = shared.select("leaf", "line").join(main, ["leaf", "line"], "left").select("leaf", "line", template.alias("template"), F.xxhash64("line").alias("h"))
+    placed = scratch.save(lines.withColumn("h", F.xxhash64("line")).join(named, ["leaf", "line", "h"]).select("template", "doc_id", "line_no"), "placed")
+    scratch.drop(lines, shared)
     # Documents are counted exactly but in two grouped steps: (template, document) first, so a hot template is spread.
     by_doc = placed.groupBy("template", "doc_id").agg(F.min("line_no").alias("line_no"))
-    known = by_doc.groupBy("template").agg(F.count("*").alias("n_docs"), first).filter(F.col("n_docs") >= min_docs)
-    known = known.select("template", "n_docs", F.col("first.doc_id").alias("first_doc"), F.col("first.line_no").alias("first_line"))
-    return placed.withColumn("h", F.xxhash64("template")).join(known.withColumn("h", F.xxhash64("template")), ["template", "h"]).select("doc_id", "line_no", "template", "n_docs", "first_doc", "first_line")
+    known = by_doc.groupBy("template").agg(F.count("*").alias("n_docs"), F.min(F.struct("doc_id", "line_no")).alias("first")).filter(F.col("n_docs") >= min_docs)
+    known = known.select("template", "n_docs", F.col("first.doc_id").alias("first_doc"), F.col("first.line_no").alias("first_line"), F.xxhash64("template").alias("h"))
+    return placed.withColumn("h", F.xxhash64("template")).join(known, ["template", "h"]).select("doc_id", "line_no", "template", "n_docs", "first_doc", "first_line")
 
 
-def dedup_lines(docs: DataFrame, **options) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, n_lines: str = "n_lines", n_dropped: str = "n_dropped", **options) -> DataFrame:
     """docs with their columns and, in text, only the lines that stay; then n_lines and n_dropped.
 
     Null texts stay null, with 0 lines; an empty text is one empty line. Lines of DEPTH tokens or
     fewer, and all lines of documents without a doc_id, are left alone. Rows of one doc_id count as one document, and repeated
-    rows lose the same lines. An empty table stays empty; columns named n_lines or n_dropped are replaced.
+    rows lose the same lines. An empty table stays empty; columns named like the two counts are replaced.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    marked = line_templates(docs.filter("doc_id is not null"), scratch, **options)
+    marked = line_templates(docs, scratch, **options)
     gone = marked.filter((F.col("doc_id") != F.col("first_doc")) | (F.col("line_no") != F.col("first_line")))
-    drops = scratch.save(gone.groupBy("doc_id").agg(F.collect_set("line_no").alias("__gone")), "drops").withColumnRenamed("doc_id", "__id")
-    out = docs.drop("n_lines", "n_dropped").join(drops, F.col("doc_id").cast("long") == F.col("__id"), "left")
+    drops = scratch.save(gone.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line_no").alias("__gone")), "drops")
+    scratch.release()
+    out = docs.drop(n_lines, n_dropped).join(drops, F.col("doc_id").cast("long") == F.col("__id"), "left")
     lines = F.split("text", "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
-    out = out.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"))
-    out = out.withColumn("n_dropped", F.when(F.col("text").isNull(), 0).otherwise(F.coalesce(F.size("__gone"), F.lit(0))).cast("long")).withColumn("text", text)
+    out = out.withColumn(n_lines, F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"))
+    out = out.withColumn(n_dropped, F.when(F.col("text").isNull(), 0).otherwise(F.coalesce(F.size("__gone"), F.lit(0))).cast("long")).withColumn("text", text)
     return out.drop("__gone", "__id")
 
 
