@@ -1,15 +1,59 @@
-"""The corpus pipeline: documents through quality, line and near-duplicate filters into packed sequences."""
+"""The corpus pipeline: from raw documents to packed training sequences.
+
+STAGES in order: documents that the quality classifier rejects go; lines whose template
+recurs go, and with them documents that have nothing else; of each group of near copies one document stays; the rest is
+packed. All but the last stage return the columns of their input (n_chars, where there is one, follows the text).
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from strandloom.llm import linededup, minhash, packing, quality
+from strandloom.runtime import Scratch, table
+
+
+def _settings(spark: SparkSession) -> None:
+    """Rows here are whole texts, so Arrow batches hold few of them; results do not depend on it."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _settings(spark)
+    return quality.Selection(docs, table(spark, sf_dir, "labels")).filter(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A document goes if it has lost lines and holds no word any more: all it had stays where it came first."""
+    _settings(spark)
+    out = linededup.dedup_lines(docs, n_lines="__n_lines", n_dropped="__n_dropped")
+    out = out.filter((F.col("__n_dropped") == 0) | F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(True)))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(F.col("__n_dropped") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _settings(spark)
+    return minhash.keep_one(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _settings(spark)
+    return packing.pack_documents(docs)
+
+
+STAGES = [("quality", quality_filter), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("packing", pack)]
 
-STAGES: list = []
+#: The stages need hashed models, MinHash and least squares, which SQL cannot express; tests hold each against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    scratch = Scratch(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.save(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

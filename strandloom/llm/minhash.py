@@ -262,3 +262,23 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, *, tile: int = TILE
     out = meta.select("doc_id", "n", "name").withColumn("h", F.xxhash64("name")).join(by_set, ["name", "h"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.col("n") == 0).alias("kept"))
+
+
+def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs, with their columns, that stay when one document of each group of near copies stays.
+
+    The document of the smallest doc_id stays; of equal rows of one doc_id, one. Rows without a doc_id all stay.
+    """
+    spark = docs.sparkSession
+    work, kept = Scratch(spark, "minhash"), Scratch(spark, "kept")
+    found = near_duplicates(docs, percent, scratch=work).filter("doc_id is not null")
+    found = kept.save(found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("kept").alias("kept")).filter("kept").select(F.col("doc_id").alias("__id"), "rows"), "kept")
+    work.clear()
+    work.release()
+    here = F.col("doc_id").cast("long") == F.col("__id")
+    once = docs.join(found.filter("rows = 1"), here, "left_semi")
+    if found.filter("rows > 1").isEmpty():
+        out = once
+    else:
+        out = once.unionByName(docs.join(found.filter("rows > 1"), here, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return out.unionByName(docs.filter("doc_id is null"))
