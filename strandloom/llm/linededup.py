@@ -81,14 +81,13 @@ def line_templates(docs: DataFrame, scratch: Scratch, *, min_docs: int = MIN_DOC
     lines = scratch.save(rows.mapInPandas(_lines, "doc_id long, line_no int, leaf long, line long"), "lines")
     # Equal lines become one row; hot lines shrink before the shuffle.
     distinct = lines.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line_no")).alias("first"), F.max("doc_id").alias("hi"))
-    distinct = scratch.save(distinct, "distinct")
     leaves = distinct.groupBy("leaf").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.min("first.doc_id").alias("lo"), F.max("hi").alias("hi"))
     # A leaf within one document can hold no recurrent template.
     leaves = leaves.filter("lo < hi").select("leaf", "total", "kinds", F.xxhash64("leaf").alias("h"))
     shared = scratch.save(distinct.withColumn("h", F.xxhash64("leaf")).join(leaves, ["leaf", "h"]).select("leaf", "line", "n", "first", "total", "kinds"), "shared")
-    scratch.drop(distinct)
     wanted = shared.filter("kinds > 1").select(F.col("first.doc_id").alias("id"), F.struct("first.line_no", "leaf", "line").alias("w")).groupBy("id").agg(F.collect_list("w").alias("wanted"))
-    found = rows.join(wanted, F.col("doc_id") == F.col("id")).select("text", "wanted").mapInPandas(_words, "leaf long, line long, tokens array<long>")
+    # Both joins with whole texts are merge joins at every size, never a broadcast of ids.
+    found = rows.join(wanted.hint("merge"), F.col("doc_id") == F.col("id")).select("text", "wanted").mapInPandas(_words, "leaf long, line long, tokens array<long>")
     found = scratch.save(found, "tokens")
     scratch.release()
     found = found.dropDuplicates(["leaf", "line"]).join(shared.select("leaf", "line", "n", "total"), ["leaf", "line"])
@@ -118,9 +117,9 @@ def dedup_lines(docs: DataFrame, *, n_lines: str = "n_lines", n_dropped: str = "
     scratch = Scratch(docs.sparkSession, "lines")
     marked = line_templates(docs, scratch, **options)
     gone = marked.filter((F.col("doc_id") != F.col("first_doc")) | (F.col("line_no") != F.col("first_line")))
-    drops = scratch.save(gone.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line_no").alias("__gone")), "drops")
+    drops = gone.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line_no").alias("__gone"))
     scratch.release()
-    out = docs.drop(n_lines, n_dropped).join(drops, F.col("doc_id").cast("long") == F.col("__id"), "left")
+    out = docs.drop(n_lines, n_dropped).join(drops.hint("merge"), F.col("doc_id").cast("long") == F.col("__id"), "left")
     lines = F.split("text", "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))

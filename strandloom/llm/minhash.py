@@ -276,9 +276,9 @@ def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     work.clear()
     work.release()
     here = F.col("doc_id").cast("long") == F.col("__id")
-    once = docs.join(found.filter("rows = 1"), here, "left_semi")
+    once = docs.join(found.filter("rows = 1").hint("merge"), here, "left_semi")
     if found.filter("rows > 1").isEmpty():
         out = once
     else:
-        out = once.unionByName(docs.join(found.filter("rows > 1"), here, "left_semi").dropDuplicates(["doc_id", "text"]))
+        out = once.unionByName(docs.join(found.filter("rows > 1").hint("merge"), here, "left_semi").dropDuplicates(["doc_id", "text"]))
     return out.unionByName(docs.filter("doc_id is null"))
