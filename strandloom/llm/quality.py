@@ -153,7 +153,10 @@ def cut_weight(scores: DataFrame) -> float | None:
         return None
     lost = np.concatenate([[0], np.cumsum(good)[:-1]])  # good ones in lower bins
     kept = bad.sum() - np.concatenate([[0], np.cumsum(bad)[:-1]])
-    return lo + width * int(np.argmin(COST * lost + kept))
+    cost = COST * lost + kept
+    first = int(np.argmin(cost))  # the middle of the first stretch of least cost, so that neither kind is at its edge
+    more = np.nonzero(cost[first:] != cost[first])[0]
+    return lo + width * (first + (int(more[0]) - 1 if len(more) else len(cost) - 1 - first) / 2)
 
 
 class Selection:
