@@ -45,10 +45,19 @@ def overlap_fraction(s, e, other_s, other_e) -> Column:
     return F.when((s > oe) | (os_ > e), F.lit(0.0)).otherwise((F.least(e, oe) - F.greatest(s, os_) + F.lit(1)) / (e - s).cast("double"))
 
 
+def letters(seq) -> Column:
+    """A sequence as an array of its letters in upper case: split once per sequence, before any pairing."""
+    return F.filter(F.split(F.upper(_c(seq)), ""), lambda x: x != "")
+
+
+def same_letters(a, b) -> Column:
+    """Positions at which two arrays of letters agree."""
+    return F.size(F.filter(F.zip_with(_c(a), _c(b), lambda x, y: x == y), lambda same: same))
+
+
 def identity_count(a, b) -> Column:
     """Positions of two equally long sequences that agree whatever their case."""
-    a, b = F.split(F.upper(_c(a)), ""), F.split(F.upper(_c(b)), "")
-    return F.size(F.filter(F.zip_with(a, b, lambda x, y: (x == y) & (x != "")), lambda same: same))
+    return same_letters(letters(a), letters(b))
 
 
 def header_number(name) -> Column:
