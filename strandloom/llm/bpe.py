@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from strandloom.runtime import Scratch, ship
 
 #: Pre-tokens remembered per worker, in each of two generations.
-CACHE = 300_000
+CACHE = 500_000
 #: Longer pre-tokens are not remembered.
 CACHE_BYTES = 64
 
@@ -37,23 +37,32 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class RankQueue:
-    """Buckets of positions by rank; ``pop`` gives the lowest rank's leftmost position."""
+    """Positions by rank; ``pop`` gives the lowest rank's leftmost position.
+
+    ``low`` has a bit per rank, ``mid`` one per word of low, ``top`` one per word of mid (a Python integer, so any number of
+    them). A bucket is a position, or a heap of them once it holds more than one.
+    """
 
     def __init__(self, ranks: int):
         words = ranks // 64 + 1
         self.low = [0] * words
         self.mid = [0] * (words // 64 + 1)
-        self.top = 0  # one bit for each word of mid: a Python integer, so any number of them
-        self.buckets: dict[int, list[int]] = {}
+        self.top = 0
+        self.buckets: dict[int, int | list[int]] = {}
 
     def push(self, rank: int, at: int) -> None:
         bucket = self.buckets.get(rank)
         if bucket is None:
-            self.buckets[rank] = [at]
+            self.buckets[rank] = at
             w = rank >> 6
-            self.low[w] |= 1 << (rank & 63)
-            self.mid[w >> 6] |= 1 << (w & 63)
-            self.top |= 1 << (w >> 6)
+            x = self.low[w]
+            self.low[w] = x | _BITS[rank & 63]
+            if not x:
+                v = w >> 6
+                self.mid[v] |= _BITS[w & 63]
+                self.top |= 1 << v
+        elif type(bucket) is int:
+            self.buckets[rank] = [bucket, at] if bucket < at else [at, bucket]
         else:
             heappush(bucket, at)
 
@@ -67,17 +76,24 @@ class RankQueue:
         x = self.low[w]
         rank = w << 6 | ((x & -x).bit_length() - 1)
         bucket = self.buckets[rank]
-        at = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[w] = x = x & (x - 1)
-            if not x:
-                self.mid[v] = m = m & (m - 1)
-                if not m:
-                    self.top = top & (top - 1)
+        if type(bucket) is not int:
+            at = heappop(bucket)
+            if bucket:
+                return rank, at
+        else:
+            at = bucket
+        del self.buckets[rank]
+        self.low[w] = x = x & (x - 1)
+        if not x:
+            self.mid[v] = m = m & (m - 1)
+            if not m:
+                self.top = top & (top - 1)
         return rank, at
 
 
+_BITS = [1 << k for k in range(64)]
+
+
 class BytePairCoder:
     """Encodes and decodes by a rank table; all single bytes must have ranks."""
 
@@ -89,48 +105,51 @@ class BytePairCoder:
         self.pieces = {i: t for t, i in ranks.items()}
         self.find = regex.compile(pattern).findall
         self.queue = RankQueue(max(ranks.values()) + 1)
+        self.first = [ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)]  # pairs of single bytes
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def merge(self, token: bytes) -> list[int]:
         """Ids of one pre-token."""
-        ranks = self.ranks
+        ranks, first = self.ranks, self.first
         whole = ranks.get(token)
         if whole is not None:
             return [whole]
         n = len(token)
-        piece: list[bytes | None] = [token[i : i + 1] for i in range(n)]
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pair = [-1] * n  # the rank of the pair that begins here, now
+        # A piece is named by where it begins; it ends where the next one begins, so the ends are the forward links.
+        end, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        pair = [first[a << 8 | b] for a, b in zip(token, token[1:], strict=False)]  # the rank of the pair that begins here, now
+        pair.append(-1)
         queue = self.queue
-        for i in range(n - 1):
-            r = ranks.get(token[i : i + 2])
-            if r is not None:
-                pair[i] = r
-                queue.push(r, i)
-        while (got := queue.pop()) is not None:
+        push, pop = queue.push, queue.pop
+        for i, r in enumerate(pair):
+            if r >= 0:
+                push(r, i)
+        get = ranks.get
+        while (got := pop()) is not None:
             r, i = got
             if pair[i] != r:
                 continue  # stale: one of its pieces has been merged since
-            j = after[i]
-            piece[i] += piece[j]
-            piece[j], pair[j] = None, -1
-            k = after[i] = after[j]
+            j = end[i]
+            k = end[i] = end[j]
+            pair[j] = -1
             if k < n:
                 before[k] = i
-                r = ranks.get(piece[i] + piece[k])
-                pair[i] = -1 if r is None else r
-                if r is not None:
-                    queue.push(r, i)
+                r = pair[i] = get(token[i : end[k]], -1)
+                if r >= 0:
+                    push(r, i)
             else:
                 pair[i] = -1
             h = before[i]
             if h >= 0:
-                r = ranks.get(piece[h] + piece[i])
-                pair[h] = -1 if r is None else r
-                if r is not None:
-                    queue.push(r, h)
-        return [ranks[p] for p in piece if p is not None]
+                r = pair[h] = get(token[h:k], -1)
+                if r >= 0:
+                    push(r, h)
+        out, i = [], 0
+        while i < n:
+            out.append(ranks[token[i : end[i]]])
+            i = end[i]
+        return out
 
     def _missed(self, token: str) -> bytes:
         """A pre-token's ids as bytes. Two generations bound the memory and keep what is used often."""
