@@ -221,3 +221,15 @@ def dedup_embeddings(vectors: DataFrame, threshold: float = 0.9, *, tile: int =
     out = member.join(by_class.withColumnRenamed("embedding", "key").withColumn("h", F.xxhash64("key")), ["h", "key"], "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.cast("long").alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+
+
+ORACLE_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+reach AS (SELECT vec_id, vec_id AS other FROM embeddings UNION SELECT reach.vec_id, link.b FROM reach JOIN link ON link.a = reach.other)
+SELECT vec_id, coalesce((SELECT count(*) FROM link WHERE link.a = e.vec_id), 0) AS n_links, (SELECT min(other) FROM reach r WHERE r.vec_id = e.vec_id) AS component_id,
+  e.vec_id = (SELECT min(other) FROM reach r WHERE r.vec_id = e.vec_id) AS kept
+FROM embeddings e
+"""

@@ -131,3 +131,25 @@ def dedup_lines(docs: DataFrame, *, n_lines: str = "n_lines", n_dropped: str = "
 def op10(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_dropped, text of every document."""
     return dedup_lines(docs.select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
+ORACLE_SQL = rf"""
+WITH split AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
+raw AS (SELECT doc_id, unnest(range(len(lines))) AS line_no, unnest(lines) AS line FROM split),
+tok AS (
+  SELECT doc_id, line_no, list_transform(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda t: t <> ''), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS t FROM raw),
+placed AS (SELECT doc_id, line_no, t, (len(t), t[1:{DEPTH}]) AS leaf FROM tok WHERE len(t) > {DEPTH}),
+leaves AS (SELECT leaf, count(*) AS total, count(DISTINCT t) AS kinds FROM placed GROUP BY leaf HAVING min(doc_id) < max(doc_id)),
+kinds AS (SELECT DISTINCT leaf, t FROM placed JOIN leaves USING (leaf) WHERE kinds > 1),
+votes AS (SELECT leaf, pos, token, count(*) AS have FROM (SELECT leaf, unnest(range(1, len(t) + 1)) AS pos, unnest(t) AS token FROM placed JOIN leaves USING (leaf) WHERE kinds > 1) GROUP BY ALL),
+most AS (SELECT leaf, pos, token FROM votes JOIN leaves USING (leaf) WHERE 2 * have > total),
+agree AS (SELECT leaf, t, count(*) AS n FROM (SELECT leaf, t, unnest(range(1, len(t) + 1)) AS pos, unnest(t) AS token FROM kinds) JOIN most USING (leaf, pos, token) GROUP BY leaf, t),
+named AS (
+  SELECT doc_id, line_no, p.leaf, CASE WHEN a.n >= {SIMILAR}::DOUBLE * len(p.t) THEN NULL ELSE p.t END AS own
+  FROM placed p JOIN leaves USING (leaf) LEFT JOIN agree a ON a.leaf = p.leaf AND a.t = p.t),
+first_ AS (SELECT leaf, own, min((doc_id, line_no)) AS head FROM named GROUP BY leaf, own HAVING count(DISTINCT doc_id) >= {MIN_DOCS}),
+gone AS (SELECT n.doc_id, list(n.line_no) AS lines FROM named n JOIN first_ f ON f.leaf = n.leaf AND f.own IS NOT DISTINCT FROM n.own WHERE (n.doc_id, n.line_no) <> f.head GROUP BY n.doc_id)
+SELECT d.doc_id, coalesce(len(s.lines), 0) AS n_lines, coalesce(len(g.lines), 0) AS n_dropped,
+  CASE WHEN g.lines IS NULL THEN d.text ELSE array_to_string(list_transform(list_filter(range(len(s.lines)), lambda i: NOT list_contains(g.lines, i)), lambda i: s.lines[i + 1]), chr(10)) END AS text
+FROM documents d LEFT JOIN split s USING (doc_id) LEFT JOIN gone g USING (doc_id)
+"""

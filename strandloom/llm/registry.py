@@ -22,4 +22,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op5_license_scan": licenses.oracle_sql(), "op9_chat_format": chat.ORACLE_SQL}
+    return {"op2_embedding_dedup": embeddings.ORACLE_SQL, "op8_minhash_dedup": minhash.ORACLE_SQL, "op10_line_templates": linededup.ORACLE_SQL, "op5_license_scan": licenses.oracle_sql(), "op9_chat_format": chat.ORACLE_SQL}
