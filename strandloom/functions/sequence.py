@@ -46,18 +46,30 @@ def overlap_fraction(s, e, other_s, other_e) -> Column:
 
 
 def letters(seq) -> Column:
-    """A sequence as an array of its letters in upper case: split once per sequence, before any pairing."""
+    """A sequence as an array of its letters in upper case."""
     return F.filter(F.split(F.upper(_c(seq)), ""), lambda x: x != "")
 
 
-def same_letters(a, b) -> Column:
-    """Positions at which two arrays of letters agree."""
-    return F.size(F.filter(F.zip_with(_c(a), _c(b), lambda x, y: x == y), lambda same: same))
+LANES = 7  # letters in a 64-bit word: a byte each, whose top bit stays free
+LOW, TOP = 0x7F7F7F7F7F7F7F, 0x80808080808080
+
+
+def packed_letters(seq) -> Column:
+    """An ASCII sequence as 64-bit words of seven letters, packed once before any pairing; others raise."""
+    words = lambda x: F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(x) / LANES).cast("int") - 1, F.lit(0))), lambda i: F.aggregate(F.slice(x, i * LANES + 1, LANES), F.lit(0).cast("long"), lambda w, c: w * 256 + F.ascii(c)))
+    packed = F.get(F.transform(F.array(letters(seq)), words), 0)
+    return F.when(F.octet_length(_c(seq)) == F.length(_c(seq)), packed).otherwise(F.raise_error(F.lit("sequences are ASCII")).cast("array<bigint>"))
+
+
+def packed_differences(a, b) -> Column:
+    """Letters that differ between two packed sequences of one length: bytes of a xor b that are not 0."""
+    return F.aggregate(F.zip_with(_c(a), _c(b), lambda x, y: F.bit_count((x.bitwiseXOR(y) + F.lit(LOW)).bitwiseAND(F.lit(TOP)))), F.lit(0), lambda s, n: s + n)
 
 
 def identity_count(a, b) -> Column:
     """Positions of two equally long sequences that agree whatever their case."""
-    return same_letters(letters(a), letters(b))
+    same = F.filter(F.zip_with(letters(a), letters(b), lambda x, y: x == y), lambda x: x)
+    return F.size(same)
 
 
 def header_number(name) -> Column:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from strandloom.functions.sequence import edge_score, jukes_cantor_different, letters, same_letters
+from strandloom.functions.sequence import edge_score, jukes_cantor_different, packed_differences, packed_letters
 from strandloom.runtime import Scratch
 
 WIDTH = 1 << 22  # positions of a thread that one task looks at together
@@ -168,11 +168,11 @@ def graph_dot(segments: DataFrame, adjacencies: DataFrame) -> DataFrame:
 
 def snp_pairs(aligned: DataFrame) -> DataFrame:
     """(t1, t2, same, different) summed over blocks of aligned(block_id, thread, bases) with equally long bases in a block."""
-    split = aligned.select("block_id", "thread", letters("bases").alias("x"))
-    a, b = split.alias("a"), split.alias("b")
+    packed = aligned.select("block_id", "thread", F.length("bases").alias("n"), packed_letters("bases").alias("x"))
+    a, b = packed.alias("a"), packed.alias("b")
     pairs = a.join(b, (F.col("a.block_id") == F.col("b.block_id")) & (F.col("a.thread") < F.col("b.thread")))
-    out = pairs.select(F.col("a.thread").alias("t1"), F.col("b.thread").alias("t2"), same_letters("a.x", "b.x").alias("m"), F.size("a.x").alias("n"))
-    return out.groupBy("t1", "t2").agg(F.sum("m").cast("long").alias("same"), F.sum(F.col("n") - F.col("m")).cast("long").alias("different"))
+    out = pairs.select(F.col("a.thread").alias("t1"), F.col("b.thread").alias("t2"), F.col("a.n").alias("n"), packed_differences("a.x", "b.x").alias("d"))
+    return out.groupBy("t1", "t2").agg(F.sum(F.col("n") - F.col("d")).cast("long").alias("same"), F.sum("d").cast("long").alias("different"))
 
 
 def breakpoint_pairs(members: DataFrame, threads: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ def candidate_segments(segments: DataFrame, min_length: int = 100, max_length: i
     rows = segments
     if not include_last:
         last = segments.groupBy("genome").agg(F.max("seg_index").alias("last"))
-        rows = rows.join(F.broadcast(last), "genome").filter(F.col("seg_index") < F.col("last")).drop("last")  # one row per genome
+        rows = rows.join(last, "genome").filter(F.col("seg_index") < F.col("last")).drop("last")
     rows = rows.filter(~F.col("has_parent") & F.col("length").between(min_length, max_length))
     if max_sequences:
         rows = rows.orderBy("seg_index").limit(max_sequences)
@@ -30,14 +30,15 @@ def number(rows: DataFrame, keys: list[str], order: list[str], name: str, bucket
     ranges before are added.
     """
     lo_hi = rows.groupBy(*keys).agg(F.min(order[0]).alias("__lo"), F.max(order[0]).alias("__hi"))
-    ranged = rows.join(F.broadcast(lo_hi), keys) if keys else rows.crossJoin(F.broadcast(lo_hi))
+    # Without keys the summaries are one row and ``buckets`` rows at most, so they are broadcast; with keys they grow with these.
+    ranged = rows.join(lo_hi, keys) if keys else rows.crossJoin(F.broadcast(lo_hi))
     width = F.greatest(F.lit(1.0), (F.col("__hi") - F.col("__lo") + 1) / F.lit(float(buckets)))
     ranged = ranged.withColumn("__range", F.floor((F.col(order[0]) - F.col("__lo")) / width).cast("int")).drop("__lo", "__hi")
     ranged = ranged.withColumn("__n", F.row_number().over(Window.partitionBy(*keys, "__range").orderBy(*order)).cast("long"))
     sizes = ranged.groupBy(*keys, "__range").agg(F.max("__n").alias("__size"))
     w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     sizes = sizes.withColumn("__before", F.sum("__size").over(w.orderBy("__range")) - F.col("__size")).drop("__size")
-    return ranged.join(F.broadcast(sizes), [*keys, "__range"]).withColumn(name, F.col("__before") + F.col("__n") - 1).drop("__range", "__n", "__before")
+    return ranged.join(sizes if keys else F.broadcast(sizes), [*keys, "__range"]).withColumn(name, F.col("__before") + F.col("__n") - 1).drop("__range", "__n", "__before")
 
 
 def both_strands(candidates: DataFrame, bases: str = "seq", name: str = "name") -> DataFrame:

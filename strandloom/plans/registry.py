@@ -297,13 +297,11 @@ def family_top20(spark, d):
     return intervals.top_families(_coverage(spark, d)).select("family", "copies")
 
 
-@query("sort_alignments", "SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey DESC) AS place FROM orders QUALIFY place <= 100")
+@query("sort_alignments", "SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey DESC) - 1 AS place FROM orders")
 def sort_alignments(spark, d):
-    rows = table(spark, d, "orders").select("o_orderkey", "o_totalprice", F.col("o_totalprice").alias("score"))
-    top = aligning.sort_alignments(rows, "o_orderkey").limit(100)  # a top-k report, as its name in the SQL says
-    from pyspark.sql import Window
-
-    return top.select("o_orderkey", "o_totalprice", F.row_number().over(Window.orderBy(F.desc("score"), F.desc("o_orderkey"))).cast("long").alias("place"))
+    """Orders as alignments by score descending, ties by the later line, each with its place in that order."""
+    rows = table(spark, d, "orders").select("o_orderkey", "o_totalprice", (-F.col("o_totalprice")).alias("score"), (-F.col("o_orderkey")).alias("line"))
+    return candidates.number(rows, [], ["score", "line"], "place").select("o_orderkey", "o_totalprice", "place")
 
 
 @query("depth_cap", "SELECT p_partkey, p_size FROM (SELECT *, row_number() OVER (PARTITION BY p_size ORDER BY p_retailprice DESC, p_partkey) AS n FROM part) WHERE n <= 2")
@@ -421,14 +419,15 @@ def graph_dot(spark, d):
 
 # --- pairs, trees, consensus ------------------------------------------------------------------------
 
-#: Events as aligned bases: a user's first event of a day and type holds the first 60 bases of a document.
-ALIGNED = f"(SELECT block_id, thread, rpad(substring(seq, 1, 60), 60, 'N') AS bases FROM seg JOIN {b.SEQUENCES} q ON q.doc_id = (thread * 31 + block_id) % 200 WHERE block_id < 25)"
+#: A segment's bases: 60 of the document that its thread and block choose, from where its start falls.
+ALIGNED = f"(SELECT block_id, thread, rpad(substring(seq, CAST(1 + start % greatest(length(seq) - 59, 1) AS BIGINT), 60), 60, 'N') AS bases FROM seg JOIN {b.SEQUENCES} q ON q.doc_id = (thread * 31 + block_id) % (SELECT count(*) FROM documents))"
 
 
 def _aligned(spark, d) -> DataFrame:
-    segs = _segs(spark, d).filter("block_id < 25")
-    seqs = b.sequences(spark, d).filter("doc_id < 200").select("doc_id", F.rpad(F.substring("seq", 1, 60), 60, "N").alias("bases"))
-    return segs.join(seqs, (F.col("thread") * 31 + F.col("block_id")) % 200 == F.col("doc_id")).select("block_id", "thread", "bases")
+    segs, seqs = _segs(spark, d), b.sequences(spark, d)
+    at = (F.lit(1) + F.pmod("start", F.greatest(F.length("seq") - 59, F.lit(1)))).cast("int")
+    rows = segs.join(seqs, F.pmod(F.col("thread") * 31 + F.col("block_id"), F.lit(seqs.count())) == F.col("doc_id"))
+    return rows.select("block_id", "thread", F.rpad(F.substring("seq", at, F.lit(60)), 60, "N").alias("bases"))
 
 
 SAME = "len(list_filter(range(1, 61), lambda k: upper(x.bases[k]) = upper(y.bases[k])))"
@@ -445,7 +444,7 @@ def segment_identity(spark, d):
 SNPS = f", snps AS (SELECT x.thread AS t1, y.thread AS t2, CAST(sum({SAME}) AS BIGINT) AS same, CAST(sum(60 - {SAME}) AS BIGINT) AS different FROM {ALIGNED} x JOIN {ALIGNED} y ON x.block_id = y.block_id AND x.thread < y.thread GROUP BY ALL)"
 BREAKS = """,
 around AS (SELECT thread, block_id, lag(block_id) OVER w AS left_block, lead(block_id) OVER w AS right_block FROM seg WINDOW w AS (PARTITION BY thread ORDER BY start, block_id)),
-members AS (SELECT * FROM around WHERE block_id < 25),
+members AS (SELECT * FROM around),
 ids AS (SELECT DISTINCT thread FROM members),
 cells AS (
   SELECT i.thread AS t1, j.thread AS t2, k.block_id, a.block_id IS NOT NULL AS one, c.block_id IS NOT NULL AS two, a.left_block AS al, c.left_block AS cl, a.right_block AS ar, c.right_block AS cr
@@ -462,8 +461,7 @@ def _breaks(spark, d) -> DataFrame:
     segs = Scratch(spark, "around").save(_segs(spark, d), "segments")
     adj = blockgraph.next_blocks(segs)
     around = segs.select("thread", "block_id").join(adj.select("thread", F.col("b1").alias("block_id"), F.col("b2").alias("right_block")), ["thread", "block_id"], "left").join(adj.select("thread", F.col("b2").alias("block_id"), F.col("b1").alias("left_block")), ["thread", "block_id"], "left")
-    members = around.filter("block_id < 25")
-    return blockgraph.breakpoint_pairs(members, members)
+    return blockgraph.breakpoint_pairs(around, around)
 
 
 @query("snp_pairs", f"{BLOCKS}{SNPS} SELECT * FROM snps")
@@ -488,12 +486,25 @@ def chain_distance(spark, d):
 
 
 def _letters(spark, d) -> DataFrame:
-    """Threads as sequences long enough for the first days of the block graph: a document's bases over and over."""
-    seqs = b.sequences(spark, d).filter("doc_id < 200 and length(seq) > 0")
-    return seqs.select("doc_id", F.substring(F.repeat("seq", 2000), 1, 1000).alias("seq"))
+    """Documents' bases over and over to at least 1000 letters: threads long enough for the shortened block graph."""
+    seqs = b.sequences(spark, d).filter(F.length("seq") > 0)
+    return seqs.select("doc_id", F.repeat("seq", F.ceil(F.lit(1000.0) / F.length("seq")).cast("int")).alias("seq"))
+
 
+CONSENSUS = f""",
+letters AS (SELECT doc_id, repeat(seq, CAST(ceil(1000.0::DOUBLE / length(seq)) AS BIGINT)) AS seq FROM {b.SEQUENCES} WHERE length(seq) > 0),
+bases AS (SELECT DISTINCT thread, letters.seq FROM seg JOIN letters ON seg.thread % (SELECT count(*) FROM documents) = letters.doc_id),
+path AS (SELECT block_id, (SELECT count(*) FROM kept) - 1 - up AS rank FROM kept),
+heads AS (SELECT block_id, min((thread, start % 900, length)) AS x FROM seg GROUP BY block_id),
+gaps AS (
+  SELECT b1, b2, min((least(greatest(adj_len, 0), 40), thread, adj_start % 900)) AS x FROM adj GROUP BY b1, b2),
+pieces AS (
+  SELECT rank * 2 AS pos, substring(seq, CAST(struct_extract(x, 2) + 1 AS BIGINT), CAST(struct_extract(x, 3) AS BIGINT)) AS piece FROM path JOIN heads USING (block_id) JOIN bases ON bases.thread = struct_extract(x, 1)
+  UNION ALL
+  SELECT p.rank * 2 + 1, substring(seq, CAST(struct_extract(x, 3) + 1 AS BIGINT), CAST(struct_extract(x, 1) AS BIGINT)) FROM path p JOIN path q ON q.rank = p.rank + 1 JOIN gaps ON b1 = p.block_id AND b2 = q.block_id JOIN bases ON bases.thread = struct_extract(x, 2))"""
 
-@query("consensus_sequence")
+
+@query("consensus_sequence", f"{SCORES}{TRACE}{CONSENSUS} SELECT string_agg(piece, '' ORDER BY pos) AS seq FROM pieces")
 def consensus_sequence(spark, d):
     """The consensus of the traced path, over threads whose gaps are shortened to at most 40 bases."""
     segs, path, _ = _trace(spark, d)
@@ -501,7 +512,7 @@ def consensus_sequence(spark, d):
     short = segs.withColumn("start", F.pmod("start", F.lit(900)))
     near = adj.withColumn("adj_start", F.pmod("adj_start", F.lit(900))).withColumn("adj_len", F.least(F.greatest("adj_len", F.lit(0)), F.lit(40)))
     seqs = _letters(spark, d).select(F.col("doc_id").alias("k"), "seq")
-    names = segs.select("thread").distinct().join(seqs, F.pmod(F.col("thread"), F.lit(200)) == F.col("k")).select(F.col("thread").alias("name"), "seq")
+    names = segs.select("thread").distinct().join(seqs, F.pmod(F.col("thread"), F.lit(table(spark, d, "documents").count())) == F.col("k")).select(F.col("thread").alias("name"), "seq")
     return blockgraph.consensus_sequence(path, short, near, names)
 
 
@@ -519,7 +530,7 @@ def _matches(spark, d) -> tuple[DataFrame, DataFrame]:
     """Order lines as matches between suppliers: each of an order's parts against the first supplier of its order."""
     rows = table(spark, d, "lineitem").select("l_orderkey", F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("name"), (F.col("l_partkey") % 900).alias("at"), F.rint("l_quantity").cast("long").alias("length"), F.col("l_linenumber").cast("long").alias("n"))
     first = rows.groupBy("l_orderkey").agg(F.min(F.struct("n", "name", "at")).alias("x"))
-    pairs = rows.join(first, "l_orderkey").filter(F.col("name") != F.col("x.name")).filter(F.col("l_orderkey") % 1 == 0)
+    pairs = rows.join(first, "l_orderkey").filter(F.col("name") != F.col("x.name"))
     matches = pairs.select(F.col("l_orderkey").alias("line"), F.col("x.name").alias("name1"), F.col("name").alias("name2"), F.col("x.at").alias("start1"), F.col("at").alias("start2"), F.col("length"), F.lit(True).alias("strand"), F.col("length").alias("score"))
     return matches, rows.select("name", F.lit(1000).cast("long").alias("length")).distinct()
 
@@ -540,6 +551,23 @@ def _dense(spark, d) -> DataFrame:
     return b.sequences(spark, d).select(F.col("doc_id").cast("string").alias("name"), F.replace("seq", F.lit("N"), F.lit("")).alias("seq"))
 
 
+@query("acyclic")
+def acyclic(spark, d):
+    return pinch.component_facts(*_matches(spark, d)).select("component", "acyclic", "n_blocks")
+
+
+@query("directed_walk")
+def directed_walk(spark, d):
+    rows = pinch.component_facts(*_matches(spark, d))
+    return rows.select("component", F.explode("reached").alias("thread"))
+
+
+@query("dense_path")
+def dense_path(spark, d):
+    rows = pinch.component_facts(*_matches(spark, d))
+    return rows.select("component", F.posexplode("dense_path").alias("rank", "block"))
+
+
 @query("seed_align")
 def seed_align(spark, d):
     return aligning.seed_alignments(_dense(spark, d), k=24)
