@@ -51,7 +51,7 @@ KEYS = [(c, s) for c in range(len(CHUNKS)) for s in range(_STARTS[c], _STARTS[c
 def _hash(word: str) -> int:
     h = _hashes.get(word)
     if h is None:
-        if len(_hashes) >= 400_000:
+        if len(_hashes) >= 200_000:
             _hashes.clear()
         h = _hashes[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
     return h
