@@ -6,6 +6,9 @@ chunks: of two signatures that differ in at most 13 symbols, at least one chunk
 chunk is indexed once for every symbol that may be wrong in it, by its other symbols: 32 keys a
 document, and all pairs up to distance 13 share a key (a pair of Jaccard similarity 0.85 is further apart in 5 of 100,000 cases).
 
+Below 85 percent, down to 80, the symbols are split into 8 chunks of 4, and every pair that shares a key is
+confirmed whatever its distance: a pair of Jaccard similarity 0.80 shares no key in 1.1 of 1,000,000 cases.
+
 Documents with equal sets are one class from the start.  A key's members are compared in units of bounded
 size (a hot key is split into tiles and pairs of tiles): distances in numpy, each pair only under the
 first key that it shares, then every remaining pair on the full sets, which units read by range from files in the shared
@@ -32,6 +35,8 @@ SYMBOLS = 32
 CHUNKS = (5, 5, 5, 5, 4, 4, 4)  # symbols of each; one may be wrong
 DISTANCE = 2 * len(CHUNKS) - 1
 PERCENT = 85
+LOW_CHUNKS = (4,) * 8  # below PERCENT; key-sharing pairs are not dropped by distance there
+LOW_PERCENT = 80
 TILE = 512  # members of a key that meet others in one unit
 UNIT_ROWS = 4096  # rows of small units worked on together, about
 GATHER = 1 << 22  # set elements gathered at once
@@ -43,9 +48,15 @@ _STEPS = np.random.default_rng(20240607).integers(1, 1 << 62, (WORDS, 1), dtype=
 _FACTORS = np.random.default_rng(20240608).integers(1, 1 << 62, (SYMBOLS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _hashes: dict[str, int] = {}
 
-#: (chunk, wrong symbol) of each key, and the chunks' first symbols.
-_STARTS = np.cumsum([0, *CHUNKS])
-KEYS = [(c, s) for c in range(len(CHUNKS)) for s in range(_STARTS[c], _STARTS[c + 1])]
+
+def layout(percent: int) -> tuple[tuple[int, ...], int]:
+    """Chunks, and the distance up to which pairs that share a key are confirmed."""
+    return (CHUNKS, DISTANCE) if percent >= PERCENT else (LOW_CHUNKS, SYMBOLS)
+
+
+def _starts(chunks: tuple[int, ...]) -> list[int]:
+    """The chunks' first symbols, and the end."""
+    return np.cumsum([0, *chunks]).tolist()
 
 
 def _hash(word: str) -> int:
@@ -114,29 +125,31 @@ def _sets(root: str):
     return run
 
 
-def _index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _index(batches: Iterator[pd.DataFrame], chunks: tuple[int, ...] = CHUNKS) -> Iterator[pd.DataFrame]:
     """(key, doc_id): a chunk with one symbol left out, hashed with its place."""
+    starts = _starts(chunks)
+    places = [(c, s) for c in range(len(chunks)) for s in range(starts[c], starts[c + 1])]
     for pdf in batches:
         if not len(pdf):
             continue
         sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(-1, SYMBOLS).astype(np.uint64)
         ids = pdf["doc_id"].to_numpy(np.int64)
-        for k, (c, wrong) in enumerate(KEYS):
+        for k, (c, wrong) in enumerate(places):
             key = np.full(len(sig), k, np.uint64)
-            for s in range(_STARTS[c], _STARTS[c + 1]):
+            for s in range(starts[c], starts[c + 1]):
                 if s != wrong:
                     key = _mix(key * _ODD + sig[:, s] + np.uint64(1))
             yield pd.DataFrame({"key": key.view(np.int64), "k": np.full(len(ids), k, np.int32), "doc_id": ids})
 
 
-def _first_keys(eq: np.ndarray) -> np.ndarray:
+def _first_keys(eq: np.ndarray, chunks: tuple[int, ...] = CHUNKS) -> np.ndarray:
     """For pairs by symbols that are equal: the number of the first key they share, -1 for none."""
-    out = np.full(len(eq), -1)
-    for c in range(len(CHUNKS)):
-        part = ~eq[:, _STARTS[c] : _STARTS[c + 1]]
+    out, starts = np.full(len(eq), -1), _starts(chunks)
+    for c in range(len(chunks)):
+        part = ~eq[:, starts[c] : starts[c + 1]]
         wrong = part.sum(axis=1)
         here = (out < 0) & (wrong <= 1)
-        out[here] = _STARTS[c] + np.where(wrong[here] == 0, 0, part[here].argmax(axis=1))
+        out[here] = starts[c] + np.where(wrong[here] == 0, 0, part[here].argmax(axis=1))
     return out
 
 
@@ -181,6 +194,7 @@ def _verify(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, forest: Forest
 
 def _units(root: str, percent: int):
     """Links within a group of units: rows (unit, k, one, two, part, doc_id, n, sig, file, at)."""
+    chunks, distance = layout(percent)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         store, edges = Sets(root), []
@@ -198,12 +212,12 @@ def _units(root: str, percent: int):
             found_i, found_j = [], []
             for a in range(hi - lo - 1):
                 eq = s[a + 1 :] == s[a]
-                ok = (SYMBOLS - eq.sum(axis=1) <= DISTANCE) & (100 * np.minimum(m[a], m[a + 1 :]) >= percent * np.maximum(m[a], m[a + 1 :]))
+                ok = (SYMBOLS - eq.sum(axis=1) <= distance) & (100 * np.minimum(m[a], m[a + 1 :]) >= percent * np.maximum(m[a], m[a + 1 :]))
                 if not own[lo]:
                     ok &= part[lo + a + 1 : hi] != part[lo + a]
                 at = np.nonzero(ok)[0]
                 if len(at):
-                    at = at[_first_keys(eq[at]) == k[lo]]
+                    at = at[_first_keys(eq[at], chunks) == k[lo]]
                     found_i.append(np.full(len(at), a))
                     found_j.append(at + a + 1)
             i, j = (np.concatenate(x) if x else np.zeros(0, int) for x in (found_i, found_j))
@@ -227,8 +241,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, *, tile: int = TILE
     links; rows without a doc_id have no links, component or place (kept is false, unless their set is empty).
     An empty table gives an empty table; further columns are not carried.
     """
-    if not PERCENT <= percent <= 100:
-        raise ValueError(f"the signatures are made for {PERCENT} to 100 percent")
+    if not LOW_PERCENT <= percent <= 100:
+        raise ValueError(f"the signatures are made for {LOW_PERCENT} to 100 percent, with fewer chunks from {PERCENT} on")
+    chunks, _ = layout(percent)
     spark = docs.sparkSession
     ship(spark)
     scratch = scratch or Scratch(spark, "minhash")
@@ -238,7 +253,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, *, tile: int = TILE
     some = meta.filter("n > 0 and doc_id is not null")
     reps = some.groupBy("name").agg(F.min(F.struct("doc_id", "n", "sig", "file", "at")).alias("r")).select("name", "r.*")
     reps = scratch.save(reps, "reps")
-    keys = scratch.save(reps.select("doc_id", "sig").mapInPandas(_index, "key long, k int, doc_id long"), "keys")
+    keys = scratch.save(reps.select("doc_id", "sig").mapInPandas(lambda batches: _index(batches, chunks), "key long, k int, doc_id long"), "keys")
     shared = keys.groupBy("key", "k").agg(F.count("*").alias("members")).filter("members > 1")
     # A second hash as join key keeps this join's shuffles its own, so a hot key's rows can be split.
     members = keys.withColumn("h", F.xxhash64("key")).join(shared.withColumn("h", F.xxhash64("key")), ["key", "k", "h"]).drop("h")

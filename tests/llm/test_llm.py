@@ -406,6 +406,43 @@ def test_keys_meet_all_pairs_up_to_the_distance():
     assert (low.sort_index().to_numpy() == first).all()
 
 
+def low_pairs():
+    """Texts of 210 words, each with a copy of 4 changed words far apart (186 of 226 shingles, J = 0.82) and one of 9 (J = 0.64)."""
+    rng = random.Random(21)
+    rows = []
+    for k in range(40):
+        w = words(rng, 210).split()
+        for at, n in ((0, 0), (1, 4), (2, 9)):
+            x = list(w)
+            for i in range(n):
+                x[10 + 20 * i] = f"changed{k}x{at}x{i}"
+            rows.append((3 * k + at, " ".join(x)))
+    return rows
+
+
+def test_pipeline_drops_near_copies_from_80_percent(spark):
+    import corpus_pipeline as c
+
+    rows = low_pairs()
+    _, want = brute_near(rows, 80)
+    _, strict = brute_near(rows, 85)
+    assert len(set(strict.values())) == len(rows)  # no pair reaches 0.85
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, 80, tile=16).collect()}
+    assert got == want
+    assert {r.doc_id for r in c.near_dedup(spark, df, "").collect()} == set(want.values())
+    assert len(set(want.values())) == 80
+
+
+def test_low_keys_meet_all_pairs_with_one_wrong_symbol_in_a_chunk():
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 2**16, (200, minhash.SYMBOLS)).astype(np.uint16)
+    b = a.copy()
+    for k in range(len(a)):
+        b[k, rng.choice(minhash.SYMBOLS, 15, replace=False)] += 1
+    assert (minhash._first_keys(a == b, minhash.LOW_CHUNKS) >= 0).all()
+
+
 # --- 9 ------------------------------------------------------------------------------------------------
 
 
