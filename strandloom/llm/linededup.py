@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from strandloom.runtime import Scratch, ship
 
-DEPTH = 4  # leading tokens that choose the leaf; lines with no more tokens than that are left alone
+DEPTH = 4  # leading tokens that choose the leaf; lines with no more tokens than that are left alone unless ``least`` says less
 MIN_DOCS = 2  # documents that make a template recurrent
 SIMILAR = 0.7  # share of a line's tokens that agree with its leaf's template
 FIELD = b"<*>"
@@ -50,15 +50,20 @@ def hashes_of(tokens: list[bytes]) -> tuple[int, int]:
     return _signed(xxhash.xxh64_intdigest(head, 1)), _signed(xxhash.xxh64_intdigest(b" ".join(tokens), 2))
 
 
-def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-            for k, line in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n")):
-                tokens = tokens_of(line)
-                if len(tokens) > DEPTH:
-                    rows.append((doc_id, k, *hashes_of(tokens)))
-        yield pd.DataFrame(rows, columns=["doc_id", "line_no", "leaf", "line"])
+def _lines(least: int):
+    """Rows of the lines of ``least`` tokens or more; all tokens of a short line are its leaf."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+                for k, line in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n")):
+                    tokens = tokens_of(line)
+                    if len(tokens) >= least:
+                        rows.append((doc_id, k, *hashes_of(tokens)))
+            yield pd.DataFrame(rows, columns=["doc_id", "line_no", "leaf", "line"])
+
+    return run
 
 
 def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -74,11 +79,14 @@ def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["leaf", "line", "tokens"])
 
 
-def line_templates(docs: DataFrame, scratch: Scratch, *, min_docs: int = MIN_DOCS, similar: float = SIMILAR) -> DataFrame:
-    """(doc_id, line_no, template, n_docs, first_doc, first_line) for the occurrences of recurrent templates."""
+def line_templates(docs: DataFrame, scratch: Scratch, *, min_docs: int = MIN_DOCS, similar: float = SIMILAR, least: int = DEPTH + 1) -> DataFrame:
+    """(doc_id, line_no, template, n_docs, first_doc, first_line) for the occurrences of recurrent templates.
+
+    Lines of fewer than ``least`` tokens, and empty ones always, are left alone.
+    """
     ship(docs.sparkSession)
     rows = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    lines = scratch.save(rows.mapInPandas(_lines, "doc_id long, line_no int, leaf long, line long"), "lines")
+    lines = scratch.save(rows.mapInPandas(_lines(max(least, 1)), "doc_id long, line_no int, leaf long, line long"), "lines")
     # Equal lines become one row; hot lines shrink before the shuffle.
     distinct = lines.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line_no")).alias("first"), F.max("doc_id").alias("hi"))
     leaves = distinct.groupBy("leaf").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.min("first.doc_id").alias("lo"), F.max("hi").alias("hi"))
@@ -111,7 +119,7 @@ def dedup_lines(docs: DataFrame, *, n_lines: str = "n_lines", n_dropped: str = "
     """docs with their columns and, in text, only the lines that stay; then n_lines and n_dropped.
 
     Null texts stay null, with 0 lines; an empty text is one empty line. Lines of DEPTH tokens or
-    fewer, and all lines of documents without a doc_id, are left alone. Rows of one doc_id count as one document, and repeated
+    fewer (of fewer than the option ``least``), and all lines of documents without a doc_id, are left alone. Rows of one doc_id count as one document, and repeated
     rows lose the same lines. An empty table stays empty; columns named like the two counts are replaced.
     """
     scratch = Scratch(docs.sparkSession, "lines")

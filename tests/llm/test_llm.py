@@ -558,6 +558,17 @@ def test_line_templates_against_brute_force(spark, docs, rows, nothing):
     assert linededup.dedup_lines(nothing).count() == 0
 
 
+def test_pipeline_drops_short_lines_that_recur(spark):
+    import corpus_pipeline as c
+
+    texts = ["Les.\none line of its own here", "Les.\n\nAll rights reserved.\nPage 1", "  All rights\treserved. \n\nPage 22\nanother", "Les.", "a b c d\na b c d e", "a b c e\n a b c d"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.text for r in c.line_dedup(spark, df, "").collect()}
+    assert got == {0: texts[0], 1: "\nAll rights reserved.\nPage 1", 2: "\nanother", 4: texts[4], 5: "a b c e"}
+    # op10's own rule is the SQL's: short lines stay.
+    assert {r.doc_id: r.text for r in linededup.op10(df).collect()} == dict(enumerate(texts))
+
+
 # --- pipeline -------------------------------------------------------------------------------------------
 
 
