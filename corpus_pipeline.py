@@ -25,12 +25,12 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of every length count, short ones too.
+    """Lines of every length count, short ones too, and a leaf has as many templates as its lines need.
 
     A document goes if it has lost lines and holds no word any more: all it had stays where it came first.
     """
     _settings(spark)
-    out = linededup.dedup_lines(docs, least=1, n_lines="__n_lines", n_dropped="__n_dropped")
+    out = linededup.dedup_lines(docs, least=1, repeat=True, n_lines="__n_lines", n_dropped="__n_dropped")
     out = out.filter((F.col("__n_dropped") == 0) | F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(True)))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType

@@ -79,10 +79,49 @@ def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["leaf", "line", "tokens"])
 
 
-def line_templates(docs: DataFrame, scratch: Scratch, *, min_docs: int = MIN_DOCS, similar: float = SIMILAR, least: int = DEPTH + 1) -> DataFrame:
+def _repeated(found: DataFrame, scratch: Scratch, similar: float) -> DataFrame:
+    """(leaf, line, template) of the lines that agree with a majority of their group; others are templates by themselves.
+
+    Groups are the leaves at first. Lines that agree with their group's majority leave it, and the step is repeated on
+    those that stay; a group in which no line agrees is split by its tokens at one position: where a token that
+    not all lines have is most frequent. So groups shrink until each has one line or one document.
+    """
+    rest, done, step = found.select("leaf", "line", "n", "first.doc_id", "hi", "tokens", F.col("leaf").alias("group")), [], 0
+    line = ["leaf", "line"]
+    while True:
+        groups = rest.groupBy("group").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.min("doc_id").alias("lo"), F.max("hi").alias("top"))
+        groups = groups.filter("kinds > 1 and lo < top").select("group", "total", F.xxhash64("group").alias("h"))
+        live = scratch.save(rest.withColumn("h", F.xxhash64("group")).join(groups, ["group", "h"]).drop("h"), "live")
+        if step:
+            scratch.drop(last)
+        if live.isEmpty():
+            break
+        words = live.select("group", *line, "n", "total", F.posexplode("tokens").alias("at", "token"))
+        have = scratch.save(words.groupBy("group", "at", "token", "total").agg(F.sum("n").alias("have")).filter("have > 1"), "have")
+        most = have.filter(2 * F.col("have") > F.col("total")).select("group", "at", "token", F.xxhash64("group").alias("h"))
+        agree = words.withColumn("h", F.xxhash64("group")).join(most, ["group", "at", "token", "h"]).groupBy(*line).agg(F.count("*").alias("agree"))
+        # Ties of the splitting position go to the first.
+        split = have.filter("have < total").groupBy("group").agg(F.min(F.struct((-F.col("have")).alias("have"), "at")).alias("x")).select("group", F.col("x.at").alias("at"))
+        main = F.coalesce(F.col("agree"), F.lit(0)) >= F.lit(similar) * F.size("tokens")
+        last = scratch.save(live.drop("total").join(agree, line, "left").withColumn("main", main).drop("agree"), "marked")
+        scratch.drop(live)
+        done.append(scratch.save(last.filter("main").select(*line, F.xxhash64("group", F.lit("leaf"), F.lit(step)).alias("template")), "groups"))
+        met = last.filter("main").select("group").distinct().withColumn("met", F.lit(True))
+        left = last.filter("not main").join(met, "group", "left").join(split, "group", "left")
+        new = F.when(F.col("met"), F.col("group")).otherwise(F.xxhash64("group", F.coalesce("at", F.lit(-1)), F.get("tokens", F.col("at")), F.when(F.col("at").isNull(), F.col("line"))))
+        rest = left.withColumn("group", new).drop("met", "at", "main")
+        step += 1
+    out = found.select(*line, F.lit(None).cast("long").alias("template")).limit(0)
+    for part in done:
+        out = out.unionByName(part)
+    return out
+
+
+def line_templates(docs: DataFrame, scratch: Scratch, *, min_docs: int = MIN_DOCS, similar: float = SIMILAR, least: int = DEPTH + 1, repeat: bool = False) -> DataFrame:
     """(doc_id, line_no, template, n_docs, first_doc, first_line) for the occurrences of recurrent templates.
 
-    Lines of fewer than ``least`` tokens, and empty ones always, are left alone.
+    Lines of fewer than ``least`` tokens, and empty ones always, are left alone. A leaf has one template, unless
+    ``repeat`` takes the majority step again on lines that did not agree.
     """
     ship(docs.sparkSession)
     rows = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -92,20 +131,24 @@ def line_templates(docs: DataFrame, scratch: Scratch, *, min_docs: int = MIN_DOC
     leaves = distinct.groupBy("leaf").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.min("first.doc_id").alias("lo"), F.max("hi").alias("hi"))
     # A leaf within one document can hold no recurrent template.
     leaves = leaves.filter("lo < hi").select("leaf", "total", "kinds", F.xxhash64("leaf").alias("h"))
-    shared = scratch.save(distinct.withColumn("h", F.xxhash64("leaf")).join(leaves, ["leaf", "h"]).select("leaf", "line", "n", "first", "total", "kinds"), "shared")
+    shared = scratch.save(distinct.withColumn("h", F.xxhash64("leaf")).join(leaves, ["leaf", "h"]).select("leaf", "line", "n", "first", distinct["hi"], "total", "kinds"), "shared")
     wanted = shared.filter("kinds > 1").select(F.col("first.doc_id").alias("id"), F.struct("first.line_no", "leaf", "line").alias("w")).groupBy("id").agg(F.collect_list("w").alias("wanted"))
     # Both joins with whole texts are merge joins at every size, never a broadcast of ids.
     found = rows.join(wanted.hint("merge"), F.col("doc_id") == F.col("id")).select("text", "wanted").mapInPandas(_words, "leaf long, line long, tokens array<long>")
     found = scratch.save(found, "tokens")
     scratch.release()
-    found = found.dropDuplicates(["leaf", "line"]).join(shared.select("leaf", "line", "n", "total"), ["leaf", "line"])
-    words = found.select("leaf", "line", "n", "total", F.posexplode("tokens").alias("at", "token"))
-    most = words.groupBy("leaf", "at", "token", "total").agg(F.sum("n").alias("have")).filter(2 * F.col("have") > F.col("total")).select("leaf", "at", "token")
-    agree = words.withColumn("h", F.xxhash64("leaf")).join(most.withColumn("h", F.xxhash64("leaf")), ["leaf", "at", "token", "h"]).groupBy("leaf", "line").agg(F.count("*").alias("agree"))
-    size = found.select("leaf", "line", F.size("tokens").alias("size"))
-    main = size.join(agree, ["leaf", "line"]).filter(F.col("agree") >= F.lit(similar) * F.col("size")).select("leaf", "line", F.lit(True).alias("main"))
-    template = F.when(F.col("main"), F.xxhash64("leaf", F.lit("leaf"))).otherwise(F.xxhash64("leaf", "line"))
-    named = shared.select("leaf", "line").join(main, ["leaf", "line"], "left").select("leaf", "line", template.alias("template"), F.xxhash64("line").alias("h"))
+    found = found.dropDuplicates(["leaf", "line"]).join(shared.select("leaf", "line", "n", "first", "hi", "total"), ["leaf", "line"])
+    if repeat:
+        own = _repeated(found, scratch, similar)
+    else:
+        words = found.select("leaf", "line", "n", "total", F.posexplode("tokens").alias("at", "token"))
+        most = words.groupBy("leaf", "at", "token", "total").agg(F.sum("n").alias("have")).filter(2 * F.col("have") > F.col("total")).select("leaf", "at", "token")
+        agree = words.withColumn("h", F.xxhash64("leaf")).join(most.withColumn("h", F.xxhash64("leaf")), ["leaf", "at", "token", "h"]).groupBy("leaf", "line").agg(F.count("*").alias("agree"))
+        size = found.select("leaf", "line", F.size("tokens").alias("size"))
+        main = size.join(agree, ["leaf", "line"]).filter(F.col("agree") >= F.lit(similar) * F.col("size"))
+        own = main.select("leaf", "line", F.xxhash64("leaf", F.lit("leaf")).alias("template"))
+    template = F.coalesce("template", F.xxhash64("leaf", "line"))
+    named = shared.select("leaf", "line").join(own, ["leaf", "line"], "left").select("leaf", "line", template.alias("template"), F.xxhash64("line").alias("h"))
     placed = scratch.save(lines.withColumn("h", F.xxhash64("line")).join(named, ["leaf", "line", "h"]).select("template", "doc_id", "line_no"), "placed")
     scratch.drop(lines, shared)
     # Documents are counted exactly but in two grouped steps: (template, document) first, so a hot template is spread.

@@ -569,6 +569,21 @@ def test_pipeline_drops_short_lines_that_recur(spark):
     assert {r.doc_id: r.text for r in linededup.op10(df).collect()} == dict(enumerate(texts))
 
 
+def test_pipeline_finds_several_templates_in_a_leaf(spark):
+    import corpus_pipeline as c
+
+    one = "we saw the big {} near a cold river on the way to town"
+    two = "we saw the big {} under some very old trees before noon came again"
+    hot = "we saw the big advertisement printed here one hundred times over for us all"
+    assert len({len(x.split()) for x in (one, two, hot)}) == 1
+    rows = [(k, hot) for k in range(30)] + [(100 + k, one.format(f"w{chr(97 + k)}")) for k in range(6)] + [(200 + k, two.format(f"w{chr(97 + k)}")) for k in range(6)]
+    rows = [(i, f"{t}\n{'x' * (1 + i)}") for i, t in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.text for r in c.line_dedup(spark, df, "").collect()}
+    assert {i for i, t in got.items() if "we saw" in t} == {0, 100, 200}
+    assert set(got) == {i for i, _ in rows}
+
+
 # --- pipeline -------------------------------------------------------------------------------------------
 
 
