@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import sequence as fn
 from strandloom.operators import aligning, blockgraph, candidates, distances, intervals, pinch, tree
 from strandloom.operators.components import connected_components
-from strandloom.plans.pipeline import library_plan
+from strandloom.plans.pipeline import aligned_pairs, library_plan
 from strandloom.runtime import Scratch
 from strandloom.sources import formats
 
@@ -291,6 +291,27 @@ def test_plan_stops_and_reuses(spark, tmp_path):
     assert "masked" in ready
 
 
+def test_plan_keeps_all_copies_in_a_family(spark):
+    import random
+
+    rng = random.Random(4)
+    core, other = ("".join(rng.choice("ACGT") for _ in range(200)) for _ in range(2))
+    seqs = spark.createDataFrame([(f"c{k}", core) for k in range(7)] + [("x", other), ("y", other)], "name string, seq string")
+    out = library_plan(spark, seqs)
+    want = {(f"c{k}", "c0") for k in range(7)} | {("x", "x"), ("y", "x")}
+    assert {(r.name, r.cluster_id) for r in out["families"].collect()} == want
+    assert out["alignments"].groupBy("q").count().filter("count > 2").count() == 0
+    # Capped alignments of an earlier run are pairs whichever way they were aligned.
+    again = library_plan(spark, seqs, ready={"alignments": out["alignments"]})
+    assert {(r.name, r.cluster_id) for r in again["families"].collect()} == want
+
+
+def test_aligned_pairs_count_a_place_once(spark):
+    rows = [("a", "b", 0, 0, 60, 0, 60), ("b", "a", 0, 0, 60, 0, 60), ("b", "a", 5, 50, 100, 55, 105)]
+    got = aligned_pairs(spark.createDataFrame(rows, "q string, t string, diagonal long, qs long, qe long, ts long, te long")).collect()
+    assert [tuple(r) for r in got] == [("a", "b", 100)]
+
+
 def test_identity_and_jukes_cantor(spark):
     df = spark.createDataFrame([("ACGT", "acga"), ("", "")], "a string, b string")
     assert [r.n for r in df.select(fn.identity_count("a", "b").alias("n")).collect()] == [3, 0]
