@@ -575,5 +575,5 @@ def seed_align(spark, d):
 
 @query("library_plan")
 def library(spark, d):
-    """The whole plan on documents: candidates, masking, alignments, clusters and consensus of the largest block path."""
+    """The plan on documents up to the families: candidates, masking, alignments and clusters; no consensus, no genome."""
     return library_plan(spark, _dense(spark, d))["families"]
