@@ -125,5 +125,13 @@ class Scratch:
             pass
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` does not have, whatever the case of its letters."""
+    taken, name = {c.lower() for c in df.columns}, f"__{base}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
