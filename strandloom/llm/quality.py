@@ -1,12 +1,11 @@
 """Quality by importance resampling: hashed n-gram models of target and raw text, sampled by Gumbel top-k.
 
-A document's log weight is the ratio of two generative models of its n-grams, as in "Data Selection for Language
+A document's log weight is the log likelihood ratio of two generative models of its n-grams, as in "Data Selection for Language
 Models via Importance Resampling" (Xie et al., 2023): one counted over the labelled good documents, one over all
-documents.  N-grams are words and punctuation runs, pairs of neighbours, and
-one feature for a neighbour that repeats; all are hashed to a fixed number of buckets.  The k documents with the largest
-weight plus Gumbel noise are a sample without replacement in proportion to the weights.
+documents.  N-grams are words and punctuation runs, and pairs of neighbours, hashed to a fixed number of buckets.  The
+k documents with the largest log weight plus Gumbel noise are a sample without replacement in proportion to the weights.
 
-k is not given but follows from the labels: it is the number of documents above the weight that
+Where k is not given it follows from the labels: it is the number of documents above the weight that
 separates labelled good from bad ones at the least cost, where losing a good one costs more than keeping a bad one.
 Labelled documents are weighed by a model that has not counted their own half of the labels, so that this cut holds for unlabelled ones.
 """
@@ -21,13 +20,12 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from strandloom.runtime import Scratch, ship, small_batches
+from strandloom.runtime import Scratch, free_name, ship, small_batches
 
 BUCKETS = 1 << 16
 MAX_LABELS = 20_000  # labelled documents that the target model counts at most (those of lowest hash)
-PRIOR = 0.02  # weight of the raw model in the target model
-SHRINK = 20  # n-grams of weight 0 added to each document, so that short ones stay near 0
-TEMPERATURE = 0.003  # weight that one unit of Gumbel noise is worth
+SMOOTH = 10.0  # n-grams that the target model has of every bucket beside those counted, in the raw model's proportion
+TEMPERATURE = 1.0  # log weight that one unit of Gumbel noise is worth; 1 samples in proportion to the weights
 COST = 20.0  # of losing a good document, against keeping a bad one
 SEED = 20240607
 BINS = 4096
@@ -52,7 +50,6 @@ def ngram_buckets(text: str | None) -> np.ndarray:
     u = np.fromiter(map(_hash, words), np.uint64, len(words))
     with np.errstate(over="ignore"):
         two = ((u[:-1] * _MIX) ^ (u[1:] + (u[:-1] >> np.uint64(7)))) * _MIX
-    two[u[:-1] == u[1:]] = _MIX  # any repeated neighbour
     return (np.concatenate([u, two]) >> np.uint64(20)).astype(np.int64) % BUCKETS
 
 
@@ -69,20 +66,22 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """log p(target) - log p(raw) per bucket; 0 where nothing was counted or there is no target."""
+    """log p(target) - log p(raw) per bucket; 0 where nothing was counted or there is no target.
+
+    A bucket's rate in the target, relative to raw text, is its count over the expected one, both with SMOOTH added:
+    a rare n-gram weighs little until it has been seen often enough.
+    """
     if not target.sum():
         return np.zeros(len(raw))
     p = raw / max(1, raw.sum())
-    prior = PRIOR * target.sum()
-    with np.errstate(divide="ignore", invalid="ignore"):
-        r = np.log((target + prior * p) / (target.sum() + prior)) - np.log(p)
-    return np.where(raw > 0, r, 0.0)
+    rate = (target + SMOOTH) / (p * target.sum() + SMOOTH)
+    return np.where(raw > 0, np.log(rate) - np.log((p * rate).sum()), 0.0)
 
 
 def weight(text: str | None, ratios: np.ndarray) -> tuple[int, float]:
-    """Number of n-grams, and the mean log ratio over these and SHRINK neutral ones."""
+    """Number of n-grams, and the log likelihood ratio: the sum of theirs."""
     b = ngram_buckets(text)
-    return len(b), float(ratios[b].sum() / (len(b) + SHRINK))
+    return len(b), float(ratios[b].sum())
 
 
 class Model:
@@ -104,11 +103,12 @@ class Model:
         return weigh(F.col(name), F.col(fold))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, max_labels: int) -> DataFrame:
-    """docs with __quality and __fold of its label; the labels joined are at most max_labels rows, so they are broadcast."""
-    one = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.min("quality").cast("int").alias("__quality"))
-    one = one.orderBy(F.xxhash64("__id"), "__id").limit(max_labels).withColumn("__fold", F.pmod(F.xxhash64("__id", F.lit(1)), F.lit(2)).cast("int"))
-    return docs.join(F.broadcast(one), docs["doc_id"].cast("long") == F.col("__id"), "left").drop("__id")
+def labelled(docs: DataFrame, labels: DataFrame, max_labels: int, quality: str = "quality", fold: str = "fold") -> DataFrame:
+    """docs with quality and fold of its label; the labels joined are at most max_labels rows, so they are broadcast."""
+    id_ = free_name(docs, "id")
+    one = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias(id_)).agg(F.min("quality").cast("int").alias(quality))
+    one = one.orderBy(F.xxhash64(id_), id_).limit(max_labels).withColumn(fold, F.pmod(F.xxhash64(id_, F.lit(1)), F.lit(2)).cast("int"))
+    return docs.join(F.broadcast(one), docs["doc_id"].cast("long") == F.col(id_), "left").drop(id_)
 
 
 def gumbel(doc_id: Column, seed: int) -> Column:
@@ -120,6 +120,8 @@ def gumbel(doc_id: Column, seed: int) -> Column:
 def kth_largest(values: DataFrame, column: str, k: int) -> float:
     """The exact k-th largest value, by histograms of fixed size instead of a sort."""
     lo, hi = values.agg(F.min(column), F.max(column)).first()
+    if lo is None:
+        return 0.0
     while True:
         width = (hi - lo) / BINS
         if not width > 0 or lo + width == lo:
@@ -141,11 +143,11 @@ def kth_largest(values: DataFrame, column: str, k: int) -> float:
 def cut_weight(scores: DataFrame) -> float | None:
     """The weight that parts labelled good from bad at the least cost; None without both kinds."""
     known = scores.filter("fold is not null")
-    lo, hi = known.agg(F.min("weight"), F.max("weight")).first()
+    lo, hi = known.agg(F.min(F.asinh("weight")), F.max(F.asinh("weight"))).first()
     if lo is None:
         return None
-    width = max((hi - lo) / BINS, 1e-12)
-    rows = known.groupBy(F.least(F.floor((F.col("weight") - F.lit(lo)) / F.lit(width)), F.lit(BINS - 1)).alias("b"), "quality").count().collect()
+    width = max((hi - lo) / BINS, 1e-12)  # narrow bins where weights are small
+    rows = known.groupBy(F.least(F.floor((F.asinh("weight") - F.lit(lo)) / F.lit(width)), F.lit(BINS - 1)).alias("b"), "quality").count().collect()
     good, bad = np.zeros(BINS + 1), np.zeros(BINS + 1)
     for r in rows:
         (good if r["quality"] == 1 else bad)[int(r["b"])] += r["count"]
@@ -156,49 +158,51 @@ def cut_weight(scores: DataFrame) -> float | None:
     cost = COST * lost + kept
     first = int(np.argmin(cost))  # the middle of the first stretch of least cost, so that neither kind is at its edge
     more = np.nonzero(cost[first:] != cost[first])[0]
-    return lo + width * (first + (int(more[0]) - 1 if len(more) else len(cost) - 1 - first) / 2)
+    return float(np.sinh(lo + width * (first + (int(more[0]) - 1 if len(more) else len(cost) - 1 - first) / 2)))
 
 
 class Selection:
     """Fitted on docs and labels: the model, k and the key of the k-th document."""
 
-    def __init__(self, docs: DataFrame, labels: DataFrame, *, max_labels: int = MAX_LABELS, seed: int = SEED):
-        self.spark, self.labels, self.max_labels, self.seed = docs.sparkSession, labels, max_labels, seed
+    def __init__(self, docs: DataFrame, labels: DataFrame, *, k: int | None = None, temperature: float = TEMPERATURE, max_labels: int = MAX_LABELS, seed: int = SEED):
+        self.spark, self.labels, self.max_labels, self.seed, self.temperature = docs.sparkSession, labels, max_labels, seed, temperature
         ship(self.spark)
         scratch = Scratch(self.spark, "quality")
-        rows = labelled(docs, labels, max_labels)
-        counted = rows.select("text", F.col("__quality").alias("quality"), F.col("__fold").alias("fold")).mapInPandas(_count, "bucket long, raw long, half0 long, half1 long")
+        rows = labelled(docs.select("doc_id", "text"), labels, max_labels)
+        counted = rows.select("text", "quality", "fold").mapInPandas(_count, "bucket long, raw long, half0 long, half1 long")
         with small_batches(self.spark):
             table = counted.groupBy("bucket").agg(*(F.sum(c).alias(c) for c in ("raw", "half0", "half1"))).toPandas()  # BUCKETS rows at most
         counts = np.zeros((BUCKETS, 3))
         counts[table["bucket"].to_numpy(np.int64)] = table[["raw", "half0", "half1"]].to_numpy(np.float64)
         self.model = Model(*counts.T)
-        self.scores = scratch.save(self._scored(rows).select("doc_id", "n", "weight", "key", F.col("__quality").alias("quality"), F.col("__fold").alias("fold")), "scores")
-        cut = None if self.model.empty else cut_weight(self.scores)
-        self.k = None if cut is None else self.scores.filter(F.col("weight") >= F.lit(cut)).count()
-        self.least = None if not self.k else kth_largest(self.scores, "key", self.k)
+        scored = rows.withColumn("w", self.model.weigh("text", "fold")).select("doc_id", "w.n", "w.weight", self._key(F.col("w.weight")).alias("key"), "quality", "fold")
+        self.scores = scratch.save(scored, "scores")
+        if k is None:
+            cut = None if self.model.empty else cut_weight(self.scores)
+            k = None if cut is None else self.scores.filter(F.col("weight") >= F.lit(cut)).count()
+        self.k = k
+        self.least = kth_largest(self.scores, "key", k) if k else None
 
-    def _scored(self, rows: DataFrame) -> DataFrame:
-        out = rows.withColumn("__w", self.model.weigh("text", "__fold"))
-        out = out.withColumns({"n": F.col("__w")["n"], "weight": F.col("__w")["weight"]}).drop("__w")
-        return out.withColumn("key", F.col("weight") / F.lit(TEMPERATURE) + gumbel(F.col("doc_id"), self.seed))
+    def _key(self, weight: Column) -> Column:
+        return weight / F.lit(self.temperature) + gumbel(F.col("doc_id"), self.seed)
 
     def kept(self, key: Column) -> Column:
-        return F.lit(True) if self.least is None else key >= F.lit(self.least)
+        return F.lit(self.k is None) if self.least is None else key >= F.lit(self.least)
 
     def filter(self, docs: DataFrame) -> DataFrame:
         """The rows of docs that are kept, with their columns. Weights are computed again, which moves no text between machines."""
-        rows = labelled(docs, self.labels, self.max_labels).withColumn("__w", self.model.weigh("text", "__fold"))
-        key = F.col("__w")["weight"] / F.lit(TEMPERATURE) + gumbel(F.col("doc_id"), self.seed)
-        return rows.filter(self.kept(key)).select(*docs.columns)
+        names = [free_name(docs, x) for x in ("quality", "fold", "w")]
+        rows = labelled(docs, self.labels, self.max_labels, *names[:2]).withColumn(names[2], self.model.weigh("text", names[1]))
+        return rows.filter(self.kept(self._key(F.col(names[2])["weight"]))).select(*docs.columns)
 
 
 def select_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """One row per document: doc_id, n_ngrams, weight, key, kept.
 
-    Null and empty texts weigh 0. Rows tied with the k-th key are kept too, so repeated rows share their fate.
+    ``k`` says how many documents to sample (0: none; more than there are: all); without it the labels do. Null and empty texts weigh 0. Rows tied
+    with the k-th key are kept too, so repeated rows share their fate; rows without a doc_id draw the noise of doc_id 0.
     Labels without documents, with null parts, or beyond ``max_labels`` do not count; of several labels of a document the
-    lowest quality does. Without good or without bad labels nothing is rejected. An empty table gives an empty table.
+    lowest quality does. Without k, and without good or without bad labels, nothing is rejected. An empty table gives an empty table.
     """
     s = Selection(docs, labels, **options)
     return s.scores.select("doc_id", F.col("n").alias("n_ngrams"), "weight", "key", s.kept(F.col("key")).alias("kept"))

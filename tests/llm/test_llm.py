@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from strandloom.llm import bpe, chat, embeddings, licenses, linededup, media, minhash, packing, quality, sharding
@@ -142,7 +143,7 @@ def test_quality_keeps_good_and_drops_bad(spark):
     good = [" ".join(rng.choices(vocabulary, k=rng.randint(20, 80))) for _ in range(300)]
     bad = [" ".join(w.upper() + "!!" for w in rng.choices(vocabulary, k=40)) for _ in range(60)]
     rows = [(i, t, "x") for i, t in enumerate(good + bad)] + [(900, None, "x"), (901, "", "x"), (902, good[0], "x"), (902, good[0], "x")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, weight string").repartition(3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __FOLD string").repartition(3)
     labels = spark.createDataFrame([(i, int(i < 300), 0) for i in range(0, 360, 2)] + [(0, 1, 0), (None, 1, 0), (7, None, 0), (10**9, 1, 0)], "doc_id long, quality int, toxic int")
     s = quality.Selection(docs, labels)
     out = {r.doc_id: r.kept for r in quality.select_documents(docs, labels).collect()}
@@ -158,16 +159,76 @@ def test_quality_keeps_good_and_drops_bad(spark):
     assert quality.select_documents(docs.filter("doc_id < 0"), labels).count() == 0
 
 
-def test_quality_model_by_brute_force():
-    texts = ["a b a b.", "c c c", "a d"]
-    raw = np.bincount(np.concatenate([quality.ngram_buckets(t) for t in texts]), minlength=quality.BUCKETS)
-    target = np.bincount(quality.ngram_buckets(texts[0]), minlength=quality.BUCKETS)
-    r = quality.log_ratios(raw, target)
-    b = quality.ngram_buckets("a")[0]
-    prior = quality.PRIOR * target.sum()
-    assert r[b] == pytest.approx(math.log((target[b] + prior * raw[b] / raw.sum()) / (target.sum() + prior)) - math.log(raw[b] / raw.sum()))
-    assert len(quality.ngram_buckets("a b a b.")) == 9
-    assert len(quality.ngram_buckets(None)) == 0
+def brute_grams(text):
+    """Buckets by the published XXH64 and 64-bit integer arithmetic, word by word."""
+    mask, mix = 2**64 - 1, 0x9E3779B97F4A7C15
+    h = [xxhash.xxh64(w.encode()).intdigest() for w in re.findall(r"\w+|[^\w\s]+", text or "")]
+    two = [((((a * mix) & mask) ^ ((b + (a >> 7)) & mask)) * mix) & mask for a, b in zip(h, h[1:], strict=False)]
+    return [(x >> 20) % 65536 for x in h + two]
+
+
+def brute_gumbel(doc_id):
+    """Spark's xxhash64 of a long and an int is XXH64 of their bytes, the first one's hash being the second one's seed."""
+    h = xxhash.xxh64(struct.pack("<q", doc_id or 0), seed=42).intdigest()
+    h = xxhash.xxh64(struct.pack("<i", quality.SEED), seed=h).intdigest()
+    return -math.log(-math.log(((h >> 12) + 0.5) / 2**52))
+
+
+def test_every_weight_key_and_choice_by_brute_force(spark, docs, rows):
+    rng = random.Random(8)
+    vocabulary = words(rng, 150).split()
+    more = [(100 + k, " ".join(rng.choices(vocabulary, k=rng.randint(1, 60))) + (" ! ?? !" * rng.randint(1, 9) if k % 4 == 0 else "")) for k in range(200)]
+    every, plain = docs.select("doc_id", "text", "key").unionByName(spark.createDataFrame([(*r, "k") for r in more], "doc_id long, text string, key string")), [*rows, *more]
+    marks = {100 + k: int(k % 4 > 0) for k in range(0, 200, 3)}
+    labels = spark.createDataFrame([(i, q, 0) for i, q in marks.items()], "doc_id long, quality int, toxic int")
+    s = quality.Selection(every, labels)
+    fold = {r.doc_id: r.fold for r in s.scores.filter("fold is not null").collect()}
+    assert set(fold) == set(marks) and set(fold.values()) == {0, 1}
+    raw = collections.Counter(b for _, t in plain for b in brute_grams(t))
+    total = sum(raw.values())
+    ratios = []
+    for without in (0, 1, None):
+        target = collections.Counter(b for i, t in plain if marks.get(i) == 1 and fold[i] != without for b in brute_grams(t))
+        size = sum(target.values())
+        rate = {b: (target[b] + 10) / (n / total * size + 10) for b, n in raw.items()}
+        norm = sum(raw[b] / total * x for b, x in rate.items())
+        ratios.append({b: math.log(x / norm) for b, x in rate.items()})
+    want = []
+    for i, t in plain:
+        r = ratios[fold[i] if i in fold else 2]
+        want.append((i, len(brute_grams(t)), sum(r[b] for b in brute_grams(t))))
+    keys = sorted((w + brute_gumbel(i) for i, _, w in want), reverse=True)
+    for k in (s.k, 30, len(plain) + 5, 0):
+        least = keys[min(k, len(keys)) - 1] if k else math.inf
+        got = sorted(((r.doc_id is None, r.doc_id or 0, r.n_ngrams, r.weight, r.key, r.kept) for r in quality.select_documents(every, labels, k=k).collect()), key=lambda r: r[:4])
+        expected = sorted(((i is None, i or 0, n, w, w + brute_gumbel(i), w + brute_gumbel(i) >= least - 1e-9) for i, n, w in want), key=lambda r: r[:4])
+        for g, e in zip(got, expected, strict=True):
+            assert g[:3] == e[:3] and g[3:5] == pytest.approx(e[3:5], abs=1e-8) and g[5] == e[5]
+    # The cut itself: no other threshold costs less on the labelled rows.
+    held = [(w, marks[i]) for i, _, w in want if i in marks]
+    cost = lambda c: sum(20 * (q == 1 and w < c) + (q == 0 and w >= c) for w, q in held)
+    cut = quality.cut_weight(s.scores)
+    assert cost(cut) <= min(cost(w + e) for w, _ in held for e in (-1e-9, 1e-9)) + 1
+    assert s.k == sum(w >= cut for _, _, w in want)
+
+
+def test_gumbel_sampling_departs_from_the_threshold_as_predicted(spark):
+    """A document of weight w is kept with probability 1 - exp(-exp(w - least)): the sample is no threshold set, and differs from it as this says."""
+    rng = random.Random(21)
+    vocabulary = words(rng, 60).split()
+    texts = [" ".join(rng.choices(vocabulary[: 60 - k % 30], k=rng.randint(1, 12))) for k in range(4000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(k, int(k % 30 > 20), 0) for k in range(0, 4000, 5)], "doc_id long, quality int, toxic int")
+    s = quality.Selection(docs, labels, k=1500)
+    out = [(r.weight, r.key >= s.least) for r in s.scores.collect()]
+    assert sum(kept for _, kept in out) == 1500
+    top = sorted((w for w, _ in out), reverse=True)[1499]
+    p = [1 - math.exp(-math.exp(w - s.least)) for w, _ in out]
+    for side in (True, False):
+        chosen = [(kept, q) for (w, kept), q in zip(out, p, strict=True) if (w >= top) == side]
+        mean, var = sum(q for _, q in chosen), sum(q * (1 - q) for _, q in chosen)
+        assert abs(sum(kept for kept, _ in chosen) - mean) < 5 * math.sqrt(var)
+    assert 100 < sum(kept != (w >= top) for w, kept in out)
 
 
 # --- 4 ------------------------------------------------------------------------------------------------
