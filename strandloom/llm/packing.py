@@ -44,7 +44,8 @@ class Tokens:
     """Ids of texts by a byte-level BPE file of the tokenizers library.
 
     Where the file's merges are in the order of their ids (so ids are ranks), tiktoken gives the
-    same ids several times faster; any other file is read by the tokenizers library itself.
+    same ids several times faster. Texts that hold one of the file's added tokens, and any other file, are read by the tokenizers
+    library itself, with its default settings: an added token in a text becomes its own id.
     """
 
     def __init__(self, path: str):
@@ -58,17 +59,23 @@ class Tokens:
             and all(vocab.get(a + b) == 256 + i for i, (a, b) in enumerate(pairs))
             and all(set(t) <= letters.keys() for t in vocab if t not in special)
         )
+        self.path, self.special, self._whole = path, [x for x in special if x], None
         if ranked:
             import tiktoken
 
             ranks = {bytes(letters[x] for x in t): i for t, i in vocab.items() if t not in special}
-            self.encode = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            self._ranked = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         else:
+            self._ranked = None
+
+    def encode(self, text: str) -> list[int]:
+        if self._ranked and not any(x in text for x in self.special):
+            return self._ranked(text)
+        if self._whole is None:
             from tokenizers import Tokenizer
 
-            t = Tokenizer.from_file(path)
-            t.encode_special_tokens = True
-            self.encode = lambda text: t.encode(text, add_special_tokens=False).ids
+            self._whole = Tokenizer.from_file(self.path)
+        return self._whole.encode(text, add_special_tokens=False).ids
 
 
 _tokens: dict[str, Tokens] = {}
