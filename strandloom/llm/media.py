@@ -22,9 +22,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyarrow import fs
 from pyspark.sql import DataFrame, functions as F
 
+from strandloom.llm.blobs import store_of
 from strandloom.runtime import Scratch, ship
 
 WIDTH = 576
@@ -91,7 +91,7 @@ class TarShard:
 
     def __init__(self, root: str, part: str):
         self.name = f"{part}-{uuid.uuid4().hex[:12]}.tar"
-        store, path = fs.FileSystem.from_uri(f"{root}/{self.name}")
+        store, path = store_of(f"{root}/{self.name}")
         store.create_dir(path.rpartition("/")[0], recursive=True)
         self.out = store.open_output_stream(path)
         self.at = 0
@@ -146,7 +146,7 @@ class Reader:
         if shard != self.name:
             if self.file:
                 self.file.close()
-            store, path = fs.FileSystem.from_uri(f"{self.root}/{shard}")
+            store, path = store_of(f"{self.root}/{shard}")
             self.name, self.file = shard, store.open_input_file(path)
         data = self.file.read_at(length, offset)
         if len(data) != length:
@@ -186,11 +186,11 @@ FEATURES = ["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_by
 FEATURE_SCHEMA = "digest binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, shard string, media_offset long, width long, height long, bit_depth int"
 
 
-def store_documents(docs: DataFrame, scratch: Scratch, *, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame, str]:
+def store_documents(docs: DataFrame, scratch: Scratch, *, folder: str | None = None, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame, str]:
     """Writes the payloads. Returns the rows (doc_id, n_bytes, digest), the objects (digest, shard,
-    offset, length, media_sha256; one per content) and the folder of the shards."""
+    offset, length, media_sha256; one per content) and the folder of the shards: the caller's, or one that goes with the driver."""
     ship(docs.sparkSession)
-    root = f"{scratch.root}/shards"
+    root = folder.rstrip("/") if folder else f"{scratch.root}/shards"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     index = rows.mapInPandas(_store(root, shard_bytes), "doc_id long, n_bytes long, digest binary, shard string, offset long, length long, media_sha256 binary")
     index = scratch.save(index, "index")
@@ -208,15 +208,16 @@ def media_columns(objects: DataFrame, root: str) -> DataFrame:
     return _in_order(objects).mapInPandas(_probe(root), "digest binary, shard string, offset long, length long, media_sha256 binary, width long, height long, bit_depth int")
 
 
-def document_media(docs: DataFrame) -> DataFrame:
+def document_media(docs: DataFrame, folder: str | None = None) -> DataFrame:
     """One row per document: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
     media_sha256, feature, then shard, media_offset, width, height, bit_depth, digest.
 
+    shard is a file in ``folder``, which driver and executors must share and which nothing here deletes; without a folder the shards go with the driver.
     Null texts are stored as empty ones; equal texts share one object. Repeated rows each
     give a row; an empty table gives an empty table; further columns are not carried.
     """
     scratch = Scratch(docs.sparkSession, "media")
-    rows, objects, root = store_documents(docs, scratch)
+    rows, objects, root = store_documents(docs, scratch, folder=folder)
     # One task reads an object's header and then its payload: the objects are dealt out once for both.
     read = scratch.save(_in_order(objects).mapInPandas(_features(root), FEATURE_SCHEMA), "features")
     known = read.withColumn("h", F.xxhash64("digest"))

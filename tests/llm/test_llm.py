@@ -8,13 +8,14 @@ import re
 import struct
 import tarfile
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from strandloom.llm import bpe, chat, embeddings, licenses, linededup, media, minhash, packing, quality, sharding
+from strandloom.llm import blobs, bpe, chat, embeddings, licenses, linededup, media, minhash, packing, quality, sharding
 from strandloom.runtime import Scratch, shared_dir
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -234,20 +235,76 @@ def test_gumbel_sampling_departs_from_the_threshold_as_predicted(spark):
 # --- 4 ------------------------------------------------------------------------------------------------
 
 
-def test_media_round_trip(spark, docs, rows, nothing):
-    got = media.document_media(docs).collect()
+def decoded_png(data):
+    """Width, height and samples of an 8-bit greyscale PNG, with every filter type, written from the format's description."""
+    assert data[:8] == bytes([137, 80, 78, 71, 13, 10, 26, 10])
+    at, chunks = 8, []
+    while at < len(data):
+        n = int.from_bytes(data[at : at + 4], "big")
+        assert zlib.crc32(data[at + 4 : at + 8 + n]) == int.from_bytes(data[at + 8 + n : at + 12 + n], "big")
+        chunks.append((data[at + 4 : at + 8], data[at + 8 : at + 8 + n]))
+        at += 12 + n
+    assert chunks[0][0] == b"IHDR" and chunks[-1] == (b"IEND", b"")
+    width, height = int.from_bytes(chunks[0][1][:4], "big"), int.from_bytes(chunks[0][1][4:8], "big")
+    assert chunks[0][1][8:] == bytes([8, 0, 0, 0, 0])
+    raw, out, above = zlib.decompress(b"".join(c for k, c in chunks if k == b"IDAT")), bytearray(), bytearray(width)
+    assert len(raw) == height * (width + 1)
+    for y in range(height):
+        kind, line = raw[y * (width + 1)], bytearray(raw[y * (width + 1) + 1 : (y + 1) * (width + 1)])
+        if kind:
+            for x in range(width):
+                a, b, c = line[x - 1] if x else 0, above[x], above[x - 1] if x else 0
+                p = a + b - c
+                near = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+                line[x] = (line[x] + (a, b, (a + b) // 2, near)[kind - 1]) % 256
+        out += line
+        above = line
+    return width, height, bytes(out)
+
+
+def brute_feature(samples):
+    """Mean to three places, and which of 8 x 8 cells are lighter than their mean, in exact fractions."""
+    n = len(samples) // 576
+    lines = [samples[576 * y : 576 * (y + 1)] for y in range(n)]
+    cells = []
+    for r in range(8):
+        lo = n * r // 8
+        hi = max(n * (r + 1) // 8, lo + 1)
+        cells += [Fraction(sum(sum(x[72 * c : 72 * (c + 1)]) for x in lines[lo:hi]), 72 * (hi - lo)) for c in range(8)]
+    mean = sum(cells) / 64
+    return f"{sum(samples) / len(samples):.3f}:{int(''.join('01'[x > mean] for x in cells), 2):016x}"
+
+
+def test_media_round_trip(spark, docs, rows, nothing, tmp_path):
+    got = media.document_media(docs, f"file://{tmp_path}").collect()
     assert bag(r.doc_id for r in got) == bag(i for i, _ in rows)
-    by = {(r.doc_id, r.n_bytes): r for r in got}
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.doc_id].append(r)
     for i, t in rows:
-        p, n = media.payload_of(t)
-        r = by[(i, n)]
-        stored = media.to_png(p)
-        assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]))
-        assert (r.media_bytes, r.media_sha256, r.feature) == (len(stored), hashlib.sha256(stored).hexdigest(), media.feature_of(p))
-        assert (r.width, r.height) == (576, len(p) // 576)
+        raw = (t or "").encode()
+        payload = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
+        r = next(x for x in by[i] if x.payload_sha256 == hashlib.sha256(payload).hexdigest())
+        # The files are the caller's: they outlive the query, and are read here by plain file access.
+        with open(tmp_path / r.shard, "rb") as f:
+            f.seek(r.media_offset)
+            stored = f.read(r.media_bytes)
+        assert r.media_sha256 == hashlib.sha256(stored).hexdigest()
+        assert decoded_png(stored) == (576, len(payload) // 576, payload)
+        assert (r.n_bytes, r.payload_bytes, r.tail_crc32) == (len(raw), len(payload), zlib.crc32(payload[-32:]))
+        assert (r.width, r.height, r.bit_depth) == (576, len(payload) // 576, 8)
+        assert r.feature == brute_feature(payload)
     assert media.document_media(nothing).count() == 0
 
 
+def test_stores_of_hadoop_names(tmp_path):
+    assert blobs.store_of(f"file://{tmp_path}/x")[1] == f"{tmp_path}/x"
+    for scheme, kind in (("s3a", "S3"), ("s3n", "S3")):
+        assert kind in type(blobs.store_of(f"{scheme}://bucket/x?region=us-east-1")[0]).__name__
+    with pytest.raises(OSError, match="viewfs"):
+        blobs.store_of("viewfs://cluster/x")
+
+
 def test_tar_shards_are_tar_files_with_each_content_once(spark, docs):
     scratch = Scratch(spark, "test")
     _, objects, root = media.store_documents(docs.coalesce(1), scratch, shard_bytes=4096)
@@ -346,7 +403,7 @@ def test_rank_queue_gives_the_lowest_rank_leftmost():
 def test_packing(docs, rows, nothing):
     tokenizers = pytest.importorskip("tokenizers")
     t = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
+    assert t.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275] == packing.tokens(public_tokenizers.path("byte_bpe_50k.json")).encode("a <|endoftext|> b")
     out = packing.pack_documents(docs, with_ids=True).cache()
     got = out.collect()
     want = bag()
