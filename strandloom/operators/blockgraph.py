@@ -1,6 +1,7 @@
 """Block graphs: segments of threads grouped in blocks, adjacencies between blocks, heaviest paths.
 
-segments(thread, start, length, block_id) holds aligned segments only; unaligned bases are the gaps between.
+segments(thread, start, length, block_id) holds aligned segments only; unaligned bases are the gaps between. Where a segment may lie
+in its block either way, a column strand says whether it lies forward.
 """
 
 from __future__ import annotations
@@ -14,19 +15,29 @@ WIDTH = 1 << 22  # positions of a thread that one task looks at together
 
 
 def next_blocks(segments: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(thread, b1, b2, adj_start, adj_len): each segment's next one along its thread.
+    """(thread, b1, b2, adj_start, adj_len): each segment's next one along its thread; with strands also (right1, right2).
 
     Next is by (start, block_id). Neighbours are found inside ranges of a thread; the last segment of a range takes
-    the first one of the thread's next range, so a long thread is not one task's work.
+    the first one of the thread's next range, so a long thread is not one task's work. right1 and right2 say whether the connection touches the right
+    ends of the two blocks: a thread leaves a block by its right end, and enters one by its left end, where it lies forward in it.
     """
+    strand = ["strand"] if "strand" in segments.columns else []
     rows = segments.withColumn("__range", F.floor(F.col("start") / width))
     inside = Window.partitionBy("thread", "__range").orderBy("start", "block_id")
-    rows = rows.withColumn("__next", F.lead(F.struct("start", "block_id")).over(inside))
-    firsts = rows.groupBy("thread", "__range").agg(F.min(F.struct("start", "block_id")).alias("__first"))
+    place = F.struct("start", "block_id", *strand)
+    rows = rows.withColumn("__next", F.lead(place).over(inside))
+    firsts = rows.groupBy("thread", "__range").agg(F.min(place).alias("__first"))
     firsts = firsts.withColumn("__after", F.lead("__first").over(Window.partitionBy("thread").orderBy("__range"))).drop("__first")
     rows = rows.join(firsts, ["thread", "__range"]).withColumn("__next", F.coalesce("__next", "__after")).filter("__next is not null")
     end = F.col("start") + F.col("length")
-    return rows.select("thread", F.col("block_id").alias("b1"), F.col("__next.block_id").alias("b2"), end.alias("adj_start"), (F.col("__next.start") - end).alias("adj_len"))
+    sides = [F.col("strand").alias("right1"), (~F.col("__next.strand")).alias("right2")] if strand else []
+    return rows.select("thread", F.col("block_id").alias("b1"), F.col("__next.block_id").alias("b2"), end.alias("adj_start"), (F.col("__next.start") - end).alias("adj_len"), *sides)
+
+
+def both_ways(adjacencies: DataFrame) -> DataFrame:
+    """Connections with sides, each read from either end."""
+    other = {"b1": "b2", "b2": "b1", "right1": "right2", "right2": "right1"}
+    return adjacencies.unionByName(adjacencies.select(*(F.col(other.get(c, c)).alias(c) for c in adjacencies.columns)))
 
 
 def block_stats(segments: DataFrame) -> DataFrame:
@@ -46,7 +57,9 @@ def block_threads(segments: DataFrame) -> DataFrame:
 
 
 def min_adjacency(adjacencies: DataFrame) -> DataFrame:
-    return adjacencies.groupBy("b1", "b2").agg(F.min("adj_len").alias("min_adj"))
+    """(b1, b2, min_adj), by the ends that touch where there are sides."""
+    sides = [c for c in ("right1", "right2") if c in adjacencies.columns]
+    return adjacencies.groupBy("b1", "b2", *sides).agg(F.min("adj_len").alias("min_adj"))
 
 
 def shortest_adjacency(adjacencies: DataFrame) -> DataFrame:
@@ -64,9 +77,18 @@ def shared_threads(edges: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def edge_scores(edges: DataFrame, ordering: DataFrame, gap_penalty: int = 1) -> DataFrame:
-    """(left_pos, right_pos, left_block, right_block, score) of the edges (b1, b2, shared, min_adj) that go forward in ordering(block_id, pos)."""
-    left, right = ordering.select(F.col("block_id").alias("b1"), F.col("pos").alias("left_pos")), ordering.select(F.col("block_id").alias("b2"), F.col("pos").alias("right_pos"))
+    """(left_pos, right_pos, left_block, right_block, score) of the edges (b1, b2, shared, min_adj) that go forward in ordering(block_id, pos).
+
+    Where the ordering says by which end a block is entered (right), an edge (with right1, right2) must reach its right block's entered end and
+    leave its left block by the other end than the entered one.
+    """
+    sided = "right" in ordering.columns and "right1" in edges.columns
+    side = lambda name: [F.col("right").alias(name)] if sided else []
+    left = ordering.select(F.col("block_id").alias("b1"), F.col("pos").alias("left_pos"), *side("enter1"))
+    right = ordering.select(F.col("block_id").alias("b2"), F.col("pos").alias("right_pos"), *side("enter2"))
     rows = edges.join(left, "b1").join(right, "b2").filter("left_pos < right_pos")
+    if sided:
+        rows = rows.filter("right2 = enter2 and right1 <> enter1")
     return rows.select("left_pos", "right_pos", F.col("b1").alias("left_block"), F.col("b2").alias("right_block"), edge_score("shared", gap_penalty, "min_adj").alias("score"))
 
 
@@ -139,27 +161,34 @@ def chain_length(path: DataFrame, stats: DataFrame) -> DataFrame:
     return path.join(stats, "block_id").agg(F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("chain_length"))
 
 
-def consensus_sequence(path: DataFrame, segments: DataFrame, adjacencies: DataFrame, sequences: DataFrame) -> DataFrame:
+def consensus_sequence(path: DataFrame, segments: DataFrame, adjacencies: DataFrame, sequences: DataFrame, read=None) -> DataFrame:
     """(seq): the first segment's bases of every block of path(rank, block_id), joined by the shortest connections' bases.
 
     The first segment is the one of the smallest (thread, start). A consensus is one output value, so its pieces meet in one row.
+    ``read`` gives the bases (sequence, start, length) as Columns where a stored sequence stands for a longer thread.
     """
+    read = read or (lambda seq, start, length: F.substring(seq, start + 1, length))
     seqs = sequences.select(F.col("name").alias("thread"), "seq")
     firsts = segments.groupBy("block_id").agg(F.min(F.struct("thread", "start", "length")).alias("x")).select("block_id", "x.*")
-    bases = path.join(firsts, "block_id").join(seqs, "thread").select((F.col("rank") * 2).alias("at"), F.substring("seq", F.col("start") + 1, F.col("length")).alias("bases"))
+    bases = path.join(firsts, "block_id").join(seqs, "thread").select((F.col("rank") * 2).alias("at"), read(F.col("seq"), F.col("start"), F.col("length")).alias("bases"))
     a, b = path.alias("a"), path.alias("b")
     steps = a.join(b, F.col("b.rank") == F.col("a.rank") + 1).select((F.col("a.rank") * 2 + 1).alias("at"), F.col("a.block_id").alias("b1"), F.col("b.block_id").alias("b2"))
-    gaps = steps.join(shortest_adjacency(adjacencies), ["b1", "b2"]).join(seqs, "thread").select("at", F.substring("seq", F.col("adj_start") + 1, F.greatest("adj_len", F.lit(0))).alias("bases"))
+    gaps = steps.join(shortest_adjacency(adjacencies), ["b1", "b2"]).join(seqs, "thread").select("at", read(F.col("seq"), F.col("adj_start"), F.greatest("adj_len", F.lit(0))).alias("bases"))
     return bases.unionByName(gaps).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "bases"))), lambda x: x["bases"]), "").alias("seq"))
 
 
 def graph_dot(segments: DataFrame, adjacencies: DataFrame) -> DataFrame:
-    """(line) of a strict graph: two nodes and one edge per block, and an edge per adjacent pair of ends. Nodes are named by block and side."""
+    """(line) of a strict graph: two nodes and one edge per block, and an edge per adjacent pair of ends (the ends that strands say, where there are any). Nodes are named by block and side."""
     blocks = segments.select("block_id").distinct()
     side = lambda c, s: F.concat(F.col(c).cast("string"), F.lit(s))
     nodes = blocks.select(F.explode(F.array(side("block_id", "l"), side("block_id", "r"))).alias("line"))
     own = blocks.select(F.concat(side("block_id", "l"), F.lit(" -- "), side("block_id", "r")).alias("line"))
-    edges = adjacencies.select("b1", "b2").distinct().select(F.concat(side("b1", "r"), F.lit(" -- "), side("b2", "l")).alias("line"))
+    if "right1" in adjacencies.columns:
+        end = lambda c, right: F.concat(F.col(c).cast("string"), F.when(F.col(right), "r").otherwise("l"))
+        ends = adjacencies.select(end("b1", "right1").alias("x"), end("b2", "right2").alias("y"))
+        edges = ends.select(F.concat(F.least("x", "y"), F.lit(" -- "), F.greatest("x", "y")).alias("line")).distinct()
+    else:
+        edges = adjacencies.select("b1", "b2").distinct().select(F.concat(side("b1", "r"), F.lit(" -- "), side("b2", "l")).alias("line"))
     return nodes.unionByName(own).unionByName(edges)
 
 

@@ -181,7 +181,7 @@ def jc_distance_negative(spark, d):
 
 @query("distance_lines", f"WITH {b.SUPPLY.strip()} SELECT i || ' ' || j || ' ' || printf('%.6f', d) AS line FROM dist")
 def distance_lines(spark, d):
-    return distances.distances(b.supply_pairs(spark, d)).select(formats.distance_line(F.col("i").cast("string"), F.col("j").cast("string"), F.col("d")).alias("line"))
+    return formats.distance_rows(distances.distances(b.supply_pairs(spark, d)))
 
 
 @query("distance_edges", f"WITH {b.PAIRS.strip()} SELECT i, j FROM dist WHERE abs(d) < 0.1::DOUBLE")
@@ -216,6 +216,11 @@ def clusters_min2(spark, d):
     return _clusters(spark, d, least_size=2).groupBy("cluster_id").agg(F.count("*").alias("n"))
 
 
+@query("cluster_lines", f"{PARTS} SELECT cluster_id, count(*) AS n, string_agg(name::VARCHAR, ' ' ORDER BY name) AS members FROM members GROUP BY cluster_id HAVING count(*) >= 2")
+def cluster_lines(spark, d):
+    return formats.cluster_lines(_clusters(spark, d, least_size=2), 2)
+
+
 @query("cluster_members", f"{PARTS} SELECT name, cluster_id FROM members")
 def cluster_members(spark, d):
     return _clusters(spark, d).select("name", "cluster_id")
@@ -292,6 +297,13 @@ def family_coverage(spark, d):
     return _coverage(spark, d).drop("first_seen")
 
 
+@query("family_lines", f"WITH {b.GREEDY}{FAMILIES} SELECT concat_ws(chr(9), family, copies, covered, printf('%.6f', coverage), printf('%.6f', avg_length)) AS line FROM cover ORDER BY copies DESC, seen")
+def family_lines(spark, d):
+    """The coverage table's lines, most copies first."""
+    rows = _coverage(spark, d).orderBy(F.desc("copies"), "first_seen")
+    return rows.select(formats.coverage_line(*(F.col(c) for c in ("family", "copies", "covered", "coverage", "avg_length"))).alias("line"))
+
+
 @query("family_top20", f"WITH {b.GREEDY}{FAMILIES} SELECT family, copies FROM cover ORDER BY copies DESC, seen LIMIT 20")
 def family_top20(spark, d):
     return intervals.top_families(_coverage(spark, d)).select("family", "copies")
@@ -366,6 +378,52 @@ def edge_scores(spark, d):
     return _scored_edges(spark, d)[2]
 
 
+#: Segments that lie in their block either way, and blocks that the ordering enters by their right end.
+SIDES = """,
+sided AS (SELECT *, (thread * 7 + block_id) % 5 <> 0 AS strand FROM seg),
+touch AS (
+  SELECT block_id AS b1, strand AS right1, b2, NOT after AS right2, CAST(floor((next_start - (start + length)) / 3600.0::DOUBLE) AS BIGINT) AS gap
+  FROM (SELECT *, lead(block_id) OVER w AS b2, lead(start) OVER w AS next_start, lead(strand) OVER w AS after FROM sided WINDOW w AS (PARTITION BY thread ORDER BY start, block_id)) WHERE b2 IS NOT NULL),
+ways AS (SELECT b1, right1, b2, right2, gap FROM touch UNION ALL SELECT b2, right2, b1, right1, gap FROM touch),
+nearest AS (SELECT b1, right1, b2, right2, min(gap) AS min_adj FROM ways GROUP BY ALL),
+both_have AS (SELECT n.b1, n.b2, count(*) AS shared FROM (SELECT DISTINCT b1, b2 FROM nearest) n JOIN seg x ON x.block_id = n.b1 JOIN seg y ON y.block_id = n.b2 AND y.thread = x.thread GROUP BY ALL)"""
+
+
+def _sided(spark, d) -> DataFrame:
+    return _segs(spark, d).withColumn("strand", (F.col("thread") * 7 + F.col("block_id")) % 5 != 0)
+
+
+@query(
+    "oriented_edges",
+    f"""{BLOCKS}{SIDES}
+SELECT x.pos AS left_pos, y.pos AS right_pos, b1 AS left_block, b2 AS right_block, shared - min_adj AS score FROM nearest JOIN both_have USING (b1, b2)
+JOIN ordering x ON x.block_id = b1 JOIN ordering y ON y.block_id = b2 WHERE x.pos < y.pos AND right2 = (b2 % 4 = 0) AND right1 <> (b1 % 4 = 0)""",
+)
+def oriented_edges(spark, d):
+    """Edges along the direction in which the ordering passes through their blocks."""
+    segs = _sided(spark, d)
+    adj = blockgraph.next_blocks(segs).withColumn("adj_len", F.floor(F.col("adj_len") / F.lit(3600.0)).cast("long"))
+    low = blockgraph.min_adjacency(blockgraph.both_ways(adj))
+    order = b.block_order(segs).withColumn("right", F.col("block_id") % 4 == 0)
+    return blockgraph.edge_scores(low.join(blockgraph.shared_threads(low, segs), ["b1", "b2"]), order)
+
+
+@query("oriented_dot", f"""{BLOCKS}{SIDES},
+ends AS (SELECT b1 || CASE WHEN right1 THEN 'r' ELSE 'l' END AS x, b2 || CASE WHEN right2 THEN 'r' ELSE 'l' END AS y FROM touch)
+SELECT block_id || side AS line FROM (SELECT DISTINCT block_id FROM seg), (VALUES ('l'), ('r')) t(side) UNION ALL SELECT DISTINCT block_id || 'l -- ' || block_id || 'r' FROM seg UNION ALL SELECT DISTINCT least(x, y) || ' -- ' || greatest(x, y) FROM ends""")
+def oriented_dot(spark, d):
+    segs = _sided(spark, d)
+    return blockgraph.graph_dot(segs, blockgraph.next_blocks(segs))
+
+
+@query("graph_totals", f"{BLOCKS} SELECT (SELECT count(DISTINCT block_id) FROM seg) AS blocks, (SELECT count(*) FROM seg) AS segments, (SELECT count(*) FROM adj) AS adjacencies")
+def graph_totals(spark, d):
+    """What the graph tools report of a graph, as one row."""
+    segs = Scratch(spark, "totals").save(_segs(spark, d), "segments")
+    counts = blockgraph.block_stats(segs).agg(F.count("*").alias("blocks"), F.sum("degree").alias("segments"))
+    return counts.crossJoin(F.broadcast(blockgraph.next_blocks(segs).agg(F.count("*").alias("adjacencies"))))  # one row each
+
+
 @query("best_predecessor", f"{BLOCKS} SELECT pos, prev, edge_score FROM best")
 def best_predecessor(spark, d):
     return blockgraph.best_predecessor(_scored_edges(spark, d)[2])
@@ -485,35 +543,32 @@ def chain_distance(spark, d):
     return rows.select("t1", "t2", (F.round("snp", 9) + F.lit(0.0)).alias("snp"), "breakpoint", F.round("distance", 9).alias("distance"))
 
 
-def _letters(spark, d) -> DataFrame:
-    """Documents' bases over and over to at least 1000 letters: threads long enough for the shortened block graph."""
-    seqs = b.sequences(spark, d).filter(F.length("seq") > 0)
-    return seqs.select("doc_id", F.repeat("seq", F.ceil(F.lit(1000.0) / F.length("seq")).cast("int")).alias("seq"))
+def _around(seq, start, length):
+    """Bases of a thread that repeats a document's bases over and over: a gap of months is read whole, however short the document."""
+    n = F.length(seq)
+    begin = F.pmod(start, n.cast("long"))
+    return F.substring(F.repeat(seq, F.ceil((begin + length) / n).cast("int")), (begin + 1).cast("int"), length.cast("int"))
 
 
+READ = "substring(repeat(seq, CAST(ceil(({0} % length(seq) + {1}) / length(seq)::DOUBLE) AS BIGINT)), CAST({0} % length(seq) + 1 AS BIGINT), CAST({1} AS BIGINT))"
 CONSENSUS = f""",
-letters AS (SELECT doc_id, repeat(seq, CAST(ceil(1000.0::DOUBLE / length(seq)) AS BIGINT)) AS seq FROM {b.SEQUENCES} WHERE length(seq) > 0),
-bases AS (SELECT DISTINCT thread, letters.seq FROM seg JOIN letters ON seg.thread % (SELECT count(*) FROM documents) = letters.doc_id),
+bases AS (SELECT DISTINCT thread, q.seq FROM seg JOIN {b.SEQUENCES} q ON seg.thread % (SELECT count(*) FROM documents) = q.doc_id WHERE length(q.seq) > 0),
 path AS (SELECT block_id, (SELECT count(*) FROM kept) - 1 - up AS rank FROM kept),
-heads AS (SELECT block_id, min((thread, start % 900, length)) AS x FROM seg GROUP BY block_id),
-gaps AS (
-  SELECT b1, b2, min((least(greatest(adj_len, 0), 40), thread, adj_start % 900)) AS x FROM adj GROUP BY b1, b2),
+heads AS (SELECT block_id, min((thread, start, length)) AS x FROM seg GROUP BY block_id),
+gaps AS (SELECT b1, b2, min((adj_len, thread, adj_start)) AS x FROM adj GROUP BY b1, b2),
 pieces AS (
-  SELECT rank * 2 AS pos, substring(seq, CAST(struct_extract(x, 2) + 1 AS BIGINT), CAST(struct_extract(x, 3) AS BIGINT)) AS piece FROM path JOIN heads USING (block_id) JOIN bases ON bases.thread = struct_extract(x, 1)
+  SELECT rank * 2 AS pos, {READ.format("struct_extract(x, 2)", "struct_extract(x, 3)")} AS piece FROM path JOIN heads USING (block_id) JOIN bases ON bases.thread = struct_extract(x, 1)
   UNION ALL
-  SELECT p.rank * 2 + 1, substring(seq, CAST(struct_extract(x, 3) + 1 AS BIGINT), CAST(struct_extract(x, 1) AS BIGINT)) FROM path p JOIN path q ON q.rank = p.rank + 1 JOIN gaps ON b1 = p.block_id AND b2 = q.block_id JOIN bases ON bases.thread = struct_extract(x, 2))"""
+  SELECT p.rank * 2 + 1, {READ.format("struct_extract(x, 3)", "greatest(struct_extract(x, 1), 0)")} FROM path p JOIN path q ON q.rank = p.rank + 1 JOIN gaps ON b1 = p.block_id AND b2 = q.block_id JOIN bases ON bases.thread = struct_extract(x, 2))"""
 
 
 @query("consensus_sequence", f"{SCORES}{TRACE}{CONSENSUS} SELECT string_agg(piece, '' ORDER BY pos) AS seq FROM pieces")
 def consensus_sequence(spark, d):
-    """The consensus of the traced path, over threads whose gaps are shortened to at most 40 bases."""
+    """The consensus of the traced path with its whole gaps."""
     segs, path, _ = _trace(spark, d)
-    adj = blockgraph.next_blocks(segs)
-    short = segs.withColumn("start", F.pmod("start", F.lit(900)))
-    near = adj.withColumn("adj_start", F.pmod("adj_start", F.lit(900))).withColumn("adj_len", F.least(F.greatest("adj_len", F.lit(0)), F.lit(40)))
-    seqs = _letters(spark, d).select(F.col("doc_id").alias("k"), "seq")
+    seqs = b.sequences(spark, d).filter(F.length("seq") > 0).select(F.col("doc_id").alias("k"), "seq")
     names = segs.select("thread").distinct().join(seqs, F.pmod(F.col("thread"), F.lit(table(spark, d, "documents").count())) == F.col("k")).select(F.col("thread").alias("name"), "seq")
-    return blockgraph.consensus_sequence(path, short, near, names)
+    return blockgraph.consensus_sequence(path, segs, blockgraph.next_blocks(segs), names, _around)
 
 
 @query("nj_tree")
@@ -570,10 +625,22 @@ def dense_path(spark, d):
 
 @query("seed_align")
 def seed_align(spark, d):
-    return aligning.seed_alignments(_dense(spark, d), k=24)
+    rows = aligning.seed_alignments(_dense(spark, d), k=24)
+    return rows.withColumn("cigar", formats.cigar_line(*(F.col(c) for c in ("q", "qs", "qe", "t", "ts", "te", "seeds")), F.col("qe") - F.col("qs")))
 
 
 @query("library_plan")
 def library(spark, d):
-    """The plan on documents up to the families: candidates, masking, alignments and clusters; no consensus, no genome."""
-    return library_plan(spark, _dense(spark, d))["families"]
+    """The plan on documents up to the library: candidates, masking, alignments, families and the consensus sequences of these."""
+    return library_plan(spark, _dense(spark, d), until="consensus")["consensus"]
+
+
+@query("library_families")
+def library_families(spark, d):
+    return library_plan(spark, _dense(spark, d), until="families")["families"]
+
+
+@query("library_annotations")
+def library_annotations(spark, d):
+    """Where the library's consensus sequences lie in the documents."""
+    return library_plan(spark, _dense(spark, d), genome=_dense(spark, d))["annotations"]

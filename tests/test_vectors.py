@@ -2,6 +2,7 @@
 
 import math
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -265,7 +266,7 @@ def test_regions_and_features(spark):
     assert formats.genome_region(seqs, "s", 2).first().seq == "GTACGT"
     feats = spark.createDataFrame([("s", 2, 4)], "seqid string, start long, end long")
     assert formats.extract(seqs, feats).first().bases == "GTA"
-    assert formats.consensus_record("p", F.lit(0), F.lit("ACG"), F.lit(7)) is not None
+    assert spark.range(1).select(formats.consensus_record("p", F.lit(0), F.lit("ACG"), F.lit(7)).alias("r")).first().r == ">p_consensus_0 length=3 score=7\nACG"
 
 
 def test_concordance_needs_pairs(spark):
@@ -318,3 +319,94 @@ def test_identity_and_jukes_cantor(spark):
     x = spark.range(1).select(fn.jukes_cantor_different(F.lit(0.3)).alias("d"), fn.jukes_cantor_different(F.lit(0.8)).alias("none")).first()
     assert math.isclose(x.d, -0.75 * math.log(1 - 4 / 3 * 0.3))
     assert x.none is None
+
+
+# --- directions, chains, consensus --------------------------------------------------------------
+
+
+def three_blocks():
+    g = pinch.Graph({1: 100, 2: 100, 3: 100})
+    for s in (10, 22, 40):
+        g.pinch(1, 2, s, s, 10)
+        g.pinch(2, 3, s, s, 10)
+    return g
+
+
+def test_path_scores_by_the_hand_vectors():
+    g = three_blocks()
+    order = g.ordering()
+    assert [side for _, side in order] == [False] * 3
+    # Gaps 2 and 8, three shared threads: 3 - 2, then 1 + 3 - 8.
+    assert g.path_scores(order) == ([0, 1, -4], [-1, 0, 1])
+    assert g.path_scores(order, 0) == ([0, 3, 6], [-1, 0, 1])
+    assert [(s, [b for b, _ in p]) for s, p in g.chains(0)] == [(3, [order[1][0], order[2][0]])]
+    assert g.pieces(g.chains(0)[0][1]) == [(1, 22, 10, True), (1, 32, 8, True), (1, 40, 10, True)]
+
+
+def test_edges_against_the_direction_do_not_count():
+    g = three_blocks()
+    order = g.ordering()
+    turned = [order[0], (order[1][0], True), order[2]]  # the middle block entered by its right end
+    assert g.path_scores(turned, 0) == ([0, 0, 0], [-1, -1, -1])
+
+
+def test_reversed_threads_are_read_in_the_path_s_direction():
+    g = pinch.Graph({1: 100, 2: 100})
+    for s, t in ((10, 70), (22, 56), (40, 40)):
+        g.pinch(1, 2, s, t, 10, False)
+    ((score, path),) = g.chains(0)
+    assert score == 2
+    # From 32 to 40 thread 1 has 8 bases; thread 2 runs the other way and has 6, from 50 to 56.
+    assert g.pieces(path) == [(1, 22, 10, True), (2, 50, 6, False), (1, 40, 10, True)]
+
+
+def test_edge_scores_of_the_table_follow_the_sides(spark):
+    segs = spark.createDataFrame([("a", 0, 10, 0, True), ("a", 20, 10, 1, True), ("a", 40, 10, 2, True), ("b", 0, 10, 2, False), ("b", 13, 10, 1, False)], "thread string, start long, length long, block_id long, strand boolean")
+    adj = blockgraph.next_blocks(segs, width=16)
+    assert {(r.b1, r.right1, r.b2, r.right2) for r in adj.collect()} == {(0, True, 1, False), (1, True, 2, False), (2, False, 1, True)}
+    low = blockgraph.min_adjacency(blockgraph.both_ways(adj))
+    edges = low.join(blockgraph.shared_threads(low, segs), ["b1", "b2"])
+    score = lambda sides: {tuple(r) for r in blockgraph.edge_scores(edges, spark.createDataFrame([(k, k, s) for k, s in enumerate(sides)], "block_id long, pos long, right boolean")).select("left_pos", "right_pos", "score").collect()}
+    assert score([False, False, False]) == {(0, 1, 1 - 10), (1, 2, 2 - 3)}
+    assert score([False, True, False]) == set()
+    lines = {r.line for r in blockgraph.graph_dot(segs, adj).collect()}
+    assert {"0r -- 1l", "1r -- 2l", "2l -- 2r"} <= lines and len(lines) == 6 + 3 + 2
+
+
+def test_the_library_has_the_copies_consensus(spark):
+    import random
+
+    rng = random.Random(6)
+    dna = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    a, b, c = dna(120), dna(120), dna(120)
+    # Copies of a-b-c with stretches of their own between, the shortest 5 long.
+    rows = [(f"s{k}", a + dna(5 + 3 * k) + b + dna(9) + c) for k in range(4)]
+    seqs = spark.createDataFrame(rows, "name string, seq string")
+    out = library_plan(spark, seqs, threshold=0.3, gap_penalty=0, genome=seqs)
+    made = out["consensus"].collect()
+    assert [r.n for r in made] == list(range(len(made))) and made
+    best = max(made, key=lambda r: len(r.seq))
+    # A base beside a copy that agrees by chance is glued too, so the ends may be a little wider and the mean degree below 4.
+    assert b[5:-5] in best.seq and c[5:-5] in best.seq and 2 <= best.degree <= 4
+    assert out["records"].first().record.startswith(">library_consensus_0 length=")
+    assert out["annotations"].count() > 0
+    limits = library_plan(spark, seqs, threshold=0.3, gap_penalty=0, min_consensus_degree=4.5, until="consensus", ready={"masked": out["masked"], "families": out["families"], "all_alignments": out["all_alignments"]}, rule=lambda g, x, y: pinch.single_copy(g, x, y))
+    assert limits["consensus"].count() == 0 and limits["families"] is out["families"]
+    assert "consensus" not in library_plan(spark, seqs, skip=("consensus",), genome=None)
+
+
+def test_small_pieces(spark):
+    assert fn.file_url("/a/b") == "file:///a/b"
+    lines = spark.createDataFrame([(7, "cigar: x 0 9 + y 2 11 + 30 M 9"), (8, "cigar: y 0 4 + z 0 4 + 5 M 4")], "line long, value string")
+    al = formats.parse_cigar(lines)
+    assert [r.line for r in aligning.sort_alignments(al).collect()] == [7, 8]
+    seqs = spark.createDataFrame([("x", 0, 20), ("y", 1, 30)], "name string, seq_idx long, length long")
+    assert [tuple(r) for r in distances.alignment_pairs(al, seqs).select("i", "j", "m", "len_i", "len_j").collect()] == [(0, 1, 9, 20, 30)]
+    assert formats.concatenate(al, al).count() == 4
+    row = al.filter("line = 7").select(formats.cigar_line(*(F.col(x) for x in ("q", "qs", "qe", "t", "ts", "te", "score")), F.lit(9)).alias("v"), fn.block_weight(F.lit(3), F.lit(5)).alias("w")).first()
+    assert (row.v, row.w) == ("cigar: x 0 9 + y 2 11 + 30 M 9", 15)
+    d = spark.createDataFrame([("b", "c", 0.5), ("a", "c", 0.25), ("a", "b", 1.0)], "i string, j string, d double")
+    assert [r.line for r in formats.distance_rows(d).collect()] == ["a b 1.000000", "a c 0.250000", "b c 0.500000"]
+    # Reversed and short matches are left out.
+    m = pd.DataFrame([("x", "y", 0, 0, 9, True, 5, 1), ("x", "y", 20, 20, 9, False, 4, 2), ("x", "y", 40, 40, 3, True, 3, 3)], columns=["name1", "name2", "start1", "start2", "length", "strand", "score", "line"])
+    assert len(pinch.fold(m, {"x": 100, "y": 100}, None, 5).blocks) == 1
