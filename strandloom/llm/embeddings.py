@@ -1,11 +1,12 @@
 """Near-duplicate embeddings by int8 quantised tile products.
 
-Equal vectors first become one class.  Classes are dealt into tiles of bounded size; each
-pair of tiles is one unit of work that reads two packed tiles and multiplies their int8
-codes in narrow strips.  A vector x is s*q + e with int8 codes q and a known length of e, so
+Equal vectors first become one class.  Classes are dealt into tiles of bounded size and
+quantised once.  Each pair of tiles is one unit of work: the tiles' int8 codes, scales and error lengths are
+shipped to it and the codes multiplied in narrow strips.  A vector x is s*q + e with int8 codes q and a known length of e, so
     x.y = sx*sy*(qx.qy) + (sx*qx).ey + ex.y,   |error| <= |sx*qx||ey| + |ex||y|
 holds for every pair: pairs whose upper bound is below the threshold are out, pairs whose lower bound
-is above it are links, and only those between are recomputed in double precision.
+is above it are links, and only those between are recomputed in double precision, from vectors that the
+unit reads by range from the tile's file in the shared folder.
 
 A unit returns a link count per vector and a spanning forest of its links, never the links
 themselves, so a group of n near copies costs O(n) rows per unit instead of n^2.
@@ -20,6 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from strandloom.llm.blobs import Reader, Writer
 from strandloom.operators.components import connected_components
 from strandloom.runtime import Scratch, ship
 
@@ -27,16 +29,16 @@ TILE = 8192  # vectors in a tile, about
 STRIP = 128  # rows of a tile multiplied at once
 PIVOTS = 64  # vectors that steer tiles (a bounded sample; no effect on results)
 CHUNK = 8192  # pairs recomputed at once
-SALTS = 16  # over which pairs of tiles are listed
+SALTS = 16  # over which pairs of tiles are listed, at least
+LISTED = 32  # tiles that one salt has, about, when there are many
 SLACK = 1e-9  # for rounding in the bounds themselves
 
 
-def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Unit rows x to int8 codes, their scales, the lengths of s*q and of the error."""
+def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unit rows x to int8 codes, their scales and the lengths of the error."""
     scale = np.maximum(np.abs(x).max(axis=1), 1e-300) / 127.0
     q = np.rint(x / scale[:, None]).astype(np.int8)
-    back = q * scale[:, None]
-    return q, scale, np.linalg.norm(back, axis=1), np.linalg.norm(x - back, axis=1)
+    return q, scale, np.linalg.norm(x - q * scale[:, None], axis=1)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -65,45 +67,76 @@ class Forest:
             self.up[max(a, b)] = min(a, b)
             self.edges.append((i, j))
 
-
-def tile_links(x: np.ndarray, wx: np.ndarray, y: np.ndarray | None, wy: np.ndarray, threshold: float):
-    """Links of unit rows x with y (with each other, if y is None): counts by weight, and a spanning forest.
-
-    Places in the forest count x first, then y.
+    def join_all(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Join every pair; each round at least halves the trees that links reach, so only joins cost a step of Python."""
+        while len(i):
+            up = np.array(self.up)
+            while (up[up] != up).any():
+                up = up[up]
+            self.up = up.tolist()
+            apart = up[i] != up[j]
+            i, j = i[apart], j[apart]
+            first = np.unique(up[j], return_index=True)[1]
+            for a, b in zip(i[first].tolist(), j[first].tolist(), strict=True):
+                self.join(a, b)
+
+
+class Tile:
+    """A tile's codes; ``rows`` gives its unit vectors, ``read(offset, length)`` being asked for each vector at most once."""
+
+    def __init__(self, ids: np.ndarray, weights: np.ndarray, codes: np.ndarray, scale: np.ndarray, error: np.ndarray, read, kind: str):
+        self.ids, self.weights, self.codes, self.scale, self.error = ids, weights, codes, scale, error
+        self.length = np.sqrt(np.einsum("ij,ij->i", codes, codes, dtype=np.float64)) * scale  # of s*q
+        self.read, self.kind, self.held, self.has = read, np.dtype(kind), None, np.zeros(len(ids), bool)
+
+    def rows(self, at: np.ndarray) -> np.ndarray:
+        n, width = self.codes.shape
+        if self.held is None:
+            self.held = np.empty((n, width))
+        missing = np.unique(at[~self.has[at]])
+        size = width * self.kind.itemsize
+        runs = np.split(missing, np.nonzero(np.diff(missing) > 1)[0] + 1) if 4 * len(missing) < n else [np.arange(n)] if len(missing) else []
+        for run in runs:
+            if len(run):
+                raw = np.frombuffer(self.read(int(run[0]) * size, len(run) * size), self.kind).reshape(len(run), width)
+                self.held[run], self.has[run] = unit(raw.astype(np.float64)), True
+        return self.held[at]
+
+
+def tile_links(one: Tile, two: Tile | None, threshold: float):
+    """Links of a tile's vectors with another's (with each other, if there is none): counts by weight, and a spanning forest.
+
+    Places in the forest count the first tile's vectors, then the second's.
     """
-    own = y is None
-    y = x if own else y
-    (qx, sx, nx, ex), (qy, sy, ny, ey) = quantise(x), quantise(y)
-    fy = qy.astype(np.float32).T  # sums of int8 products stay below 2^24 for up to 1040 components, so they are exact
-    exact_width = 1040
-    cx, cy, forest = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64), Forest(len(x) + (0 if own else len(y)))
-    shift = 0 if own else len(x)
-    for at in range(0, len(x), STRIP):
-        rows = slice(at, min(at + STRIP, len(x)))
-        if fy.shape[0] <= exact_width:
-            dots = qx[rows].astype(np.float32) @ fy
-        else:
-            dots = qx[rows].astype(np.float64) @ fy.astype(np.float64)
-        near = dots.astype(np.float64) * sx[rows, None] * sy[None, :]
-        error = nx[rows, None] * ey[None, :] + ex[rows, None] + SLACK  # |y| is 1
+    own = two is None
+    two = one if own else two
+    n, m = len(one.ids), len(two.ids)
+    kind = np.float32 if one.codes.shape[1] <= 1040 else np.float64  # sums of int8 products stay below 2^24 for up to 1040 components, so they are exact
+    turned = two.codes.astype(kind).T
+    cx, cy, forest = np.zeros(n, np.int64), np.zeros(m, np.int64), Forest(n + (0 if own else m))
+    shift = 0 if own else n
+    for at in range(0, n, STRIP):
+        rows = slice(at, min(at + STRIP, n))
+        near = (one.codes[rows].astype(kind) @ turned).astype(np.float64) * one.scale[rows, None] * two.scale[None, :]
+        error = one.length[rows, None] * two.error[None, :] + one.error[rows, None] + SLACK  # a vector of the second has length 1
         if own:
-            near[np.arange(near.shape[1])[None, :] <= np.arange(rows.start, rows.stop)[:, None]] = -9
+            near[np.arange(m)[None, :] <= np.arange(rows.start, rows.stop)[:, None]] = -9
         i, j = np.nonzero(near + error >= threshold)
         sure = (near[i, j] - error[i, j]) >= threshold
         i = i + at
-        for c in range(0, len(i), CHUNK):
-            part = np.nonzero(~sure[c : c + CHUNK])[0] + c
-            sure[part] = np.einsum("ij,ij->i", x[i[part]], y[j[part]]) >= threshold
+        open_ = np.nonzero(~sure)[0]
+        for c in range(0, len(open_), CHUNK):
+            part = open_[c : c + CHUNK]
+            sure[part] = np.einsum("ij,ij->i", one.rows(i[part]), two.rows(j[part])) >= threshold
         i, j = i[sure], j[sure]
-        np.add.at(cx, i, wy[j])
-        np.add.at(cx if own else cy, j, wx[i])
-        for a, b in zip(i.tolist(), (j + shift).tolist(), strict=True):
-            forest.join(a, b)
+        np.add.at(cx, i, two.weights[j])
+        np.add.at(cx if own else cy, j, one.weights[i])
+        forest.join_all(i, j + shift)
     return cx, cy, forest.edges
 
 
-def _pack(kind: str):
-    """Rows (tile, vec_id, n, embedding) of one tile to one row with its arrays and cap."""
+def _pack(root: str, kind: str):
+    """Rows (tile, vec_id, n, embedding) of one tile to one row with its codes and cap; the vectors go to a file of their own."""
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         raw = np.array(pdf["embedding"].tolist(), dtype=kind)
@@ -112,9 +145,13 @@ def _pack(kind: str):
         length = np.linalg.norm(centre)
         angle = np.pi if length < 1e-9 else float(np.arccos(np.clip(x @ (centre / length), -1, 1)).max())
         centre = centre / length if length >= 1e-9 else x[0]
+        codes, scale, error = quantise(x)
+        writer = Writer(root, "tile")
+        writer.append(raw.tobytes())
+        writer.close()
         return pd.DataFrame({
             "tile": [pdf["tile"].iloc[0]], "width": [x.shape[1]], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()],
-            "weights": [pdf["n"].to_numpy(np.int64).tobytes()], "vectors": [raw.tobytes()], "centre": [centre.tolist()], "angle": [angle],
+            "weights": [pdf["n"].to_numpy(np.int64).tobytes()], "codes": [codes.tobytes()], "scale": [scale.tobytes()], "error": [error.tobytes()], "file": [writer.name], "centre": [centre.tolist()], "angle": [angle],
         })
 
     return pack
@@ -136,22 +173,21 @@ def _cells(pivots: dict[int, np.ndarray]):
     return cells
 
 
-def _unit_of(kind: str, threshold: float):
+def _unit_of(root: str, kind: str, threshold: float):
     """Work on one pair of tiles; its group holds one row per tile (one row, if the pair is a tile with itself)."""
 
-    def load(r):
+    def load(r, reader):
         ids = np.frombuffer(r.ids, np.int64)
-        return ids, np.frombuffer(r.weights, np.int64), unit(np.frombuffer(r.vectors, kind).astype(np.float64).reshape(len(ids), -1))
+        codes = np.frombuffer(r.codes, np.int8).reshape(len(ids), -1)
+        return Tile(ids, np.frombuffer(r.weights, np.int64), codes, np.frombuffer(r.scale), np.frombuffer(r.error), lambda offset, length: reader.read(r.file, offset, length), kind)
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        sides = [load(r) for r in pdf.itertuples()]
-        ids, w, x = sides[0]
-        if len(sides) == 1:
-            counts, _, edges = tile_links(x, w, None, w, threshold)
-        else:
-            ids2, w2, y = sides[1]
-            cx, cy, edges = tile_links(x, w, y, w2, threshold)
-            ids, counts = np.concatenate([ids, ids2]), np.concatenate([cx, cy])
+        reader = Reader(root)
+        sides = [load(r, reader) for r in pdf.itertuples()]
+        ids = sides[0].ids
+        counts, more, edges = tile_links(sides[0], sides[1] if len(sides) > 1 else None, threshold)
+        if len(sides) > 1:
+            ids, counts = np.concatenate([ids, sides[1].ids]), np.concatenate([counts, more])
         some, ends = np.nonzero(counts)[0], np.array(edges, np.int64).reshape(-1, 2)
         return pd.DataFrame({
             "vec_id": np.concatenate([ids[some], ids[ends[:, 0]]]), "n": np.concatenate([counts[some], np.zeros(len(ends), np.int64)]),
@@ -165,8 +201,8 @@ def dedup_embeddings(vectors: DataFrame, threshold: float = 0.9, *, tile: int =
     """One row per row of vectors(vec_id, embedding): n_links, component_id, kept.
 
     Vectors that are null, empty, all zero, or hold null or non-finite components link with
-    nothing (n_links 0, their own component); so do vectors of different widths with each
-    other. Equal vectors link. Repeated rows count as vectors of their own in n_links; different vectors
+    nothing (n_links 0, their own component), and a row without vec_id has n_links 0, no component and kept false;
+    vectors of different widths do not link with each other. Equal vectors link. Repeated rows count as vectors of their own in n_links; different vectors
     of one vec_id share its links.
     An empty table gives an empty table; further columns are not carried.
     """
@@ -175,6 +211,7 @@ def dedup_embeddings(vectors: DataFrame, threshold: float = 0.9, *, tile: int =
     spark = vectors.sparkSession
     ship(spark)
     scratch = Scratch(spark, "embeddings")
+    root = f"{scratch.root}/tiles"
     kind = "f4" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "f8"
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     usable = F.coalesce(
@@ -195,21 +232,22 @@ def dedup_embeddings(vectors: DataFrame, threshold: float = 0.9, *, tile: int =
     sizes = celled.groupBy("width", "cell").count().withColumn("parts", F.ceil(F.col("count") / tile))
     # parts: at most `pivots` rows per width, broadcast for that reason
     tiled = celled.join(F.broadcast(sizes.drop("count")), ["width", "cell"]).withColumn("tile", F.xxhash64("width", "cell", F.pmod(F.xxhash64("vec_id"), F.col("parts"))))
-    packed = tiled.select("tile", "vec_id", "n", "embedding").groupBy("tile").applyInPandas(_pack(kind), "tile long, width int, ids binary, weights binary, vectors binary, centre array<double>, angle double")
+    packed = tiled.select("tile", "vec_id", "n", "embedding").groupBy("tile").applyInPandas(_pack(root, kind), "tile long, width int, ids binary, weights binary, codes binary, scale binary, error binary, file string, centre array<double>, angle double")
     packed = scratch.save(packed, "tiles")
     scratch.drop(celled)
     # Pairs of tiles, from their summaries only, kept where the caps leave room for a link. One
-    # side is salted and the other repeated, so that no task lists all pairs.
+    # side is salted and the other repeated, with salts in proportion to the tiles, so that no task lists all pairs.
     caps = packed.select("tile", "width", "centre", "angle")
-    a = caps.withColumn("salt", F.pmod(F.xxhash64("tile"), F.lit(SALTS))).alias("a")
-    b = caps.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))).alias("b")
+    salts = max(SALTS, caps.count() // LISTED)
+    a = caps.withColumn("salt", F.pmod(F.xxhash64("tile"), F.lit(salts))).alias("a")
+    b = caps.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))).alias("b")
     cosine = F.aggregate(F.zip_with("a.centre", "b.centre", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     apart = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))
     near = (F.col("a.tile") == F.col("b.tile")) | (apart <= F.col("a.angle") + F.col("b.angle") + F.lit(float(np.arccos(threshold)) + 1e-6))
     pairs = a.join(b, (F.col("a.width") == F.col("b.width")) & (F.col("a.salt") == F.col("b.salt")) & (F.col("a.tile") <= F.col("b.tile")) & near)
     ends = pairs.select(F.col("a.tile").alias("one"), F.col("b.tile").alias("two")).withColumn("tile", F.explode(F.array_distinct(F.array("one", "two"))))
-    work = ends.join(packed.select("tile", "ids", "weights", "vectors"), "tile").groupBy("one", "two")
-    found = scratch.save(work.applyInPandas(_unit_of(kind, threshold), "vec_id long, n long, other long"), "found")
+    work = ends.join(packed.select("tile", "ids", "weights", "codes", "scale", "error", "file"), "tile").groupBy("one", "two")
+    found = scratch.save(work.applyInPandas(_unit_of(root, kind, threshold), "vec_id long, n long, other long"), "found")
     scratch.drop(packed)
     links = found.filter("other is null").groupBy("vec_id").agg(F.sum("n").alias("n"))
     parts = connected_components(found.filter("other is not null"), "vec_id", "other", scratch)

@@ -128,10 +128,43 @@ def test_embeddings_against_brute_force(spark):
     assert embeddings.dedup_embeddings(df.filter("vec_id < 0")).count() == 0
 
 
+def test_tile_reads_only_the_vectors_of_undecided_pairs():
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(400, 24)).astype(np.float32)
+    x[200:] = x[:200] + (rng.random((200, 1)) * 0.8 * rng.normal(size=(200, 24))).astype(np.float32)
+    u, reads = embeddings.unit(x.astype(np.float64)), []
+
+    def tile(lo, hi):
+        raw = x[lo:hi].tobytes()
+        return embeddings.Tile(np.arange(lo, hi), np.ones(hi - lo, np.int64), *embeddings.quantise(u[lo:hi]), lambda at, n: reads.append(n) or raw[at : at + n], "f4")
+
+    want = u @ u.T >= 0.9
+    np.fill_diagonal(want, False)
+    own, _, _ = embeddings.tile_links(tile(0, 400), None, 0.9)
+    assert own.tolist() == want.sum(axis=1).tolist()
+    assert 0 < sum(reads) < x.nbytes // 4
+    one, two, edges = embeddings.tile_links(tile(0, 200), tile(200, 400), 0.9)
+    assert one.tolist() == want[:200, 200:].sum(axis=1).tolist() and two.tolist() == want[:200, 200:].sum(axis=0).tolist()
+    assert all(want[a, b] for a, b in edges)
+
+
+def test_all_joins_at_once_give_the_same_trees():
+    rng = np.random.default_rng(2)
+    for n, m in ((50, 20), (50, 60), (300, 5000)):
+        i, j = rng.integers(0, n, m), rng.integers(0, n, m)
+        one, all_ = embeddings.Forest(n), embeddings.Forest(n)
+        for a, b in zip(i.tolist(), j.tolist(), strict=True):
+            one.join(a, b)
+        all_.join_all(i, j)
+        assert [one.find(k) for k in range(n)] == [all_.find(k) for k in range(n)]
+        assert len(one.edges) == len(all_.edges)
+
+
 def test_quantised_bounds_hold():
     rng = np.random.default_rng(0)
     x, y = (embeddings.unit(rng.normal(size=(200, 40))) for _ in range(2))
-    (qx, sx, nx, ex), (qy, sy, _, ey) = embeddings.quantise(x), embeddings.quantise(y)
+    (qx, sx, ex), (qy, sy, ey) = embeddings.quantise(x), embeddings.quantise(y)
+    nx = np.linalg.norm(qx * sx[:, None], axis=1)
     near = (qx.astype(float) @ qy.T.astype(float)) * sx[:, None] * sy[None, :]
     assert (np.abs(near - x @ y.T) <= nx[:, None] * ey[None, :] + ex[:, None] + 1e-12).all()
 
