@@ -12,7 +12,7 @@ confirmed whatever its distance: a pair of Jaccard similarity 0.80 shares no key
 Documents with equal sets are one class from the start.  A key's members are compared in units of bounded
 size (a hot key is split into tiles and pairs of tiles): distances in numpy, each pair only under the
 first key that it shares, then every remaining pair on the full sets, which units read by range from files in the shared
-folder.  A unit returns a spanning forest of its links, never pairs, so large groups of copies cost no more rows than they have members.
+folder, in blocks of pairs with a bounded number of set elements.  A unit returns a spanning forest of its links, never pairs, so large groups of copies cost no more rows than they have members.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ LOW_CHUNKS = (4,) * 8  # below PERCENT; key-sharing pairs are not dropped by dis
 LOW_PERCENT = 80
 TILE = 512  # members of a key that meet others in one unit
 UNIT_ROWS = 4096  # rows of small units worked on together, about
-GATHER = 1 << 22  # set elements gathered at once
+GATHER = 1 << 22  # set elements gathered at once; more only where a single pair has more
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -153,8 +153,26 @@ def _first_keys(eq: np.ndarray, chunks: tuple[int, ...] = CHUNKS) -> np.ndarray:
     return out
 
 
+def _blocks(i: np.ndarray, j: np.ndarray, sizes: np.ndarray, limit: int) -> Iterator[slice]:
+    """Runs of the pairs whose distinct sets hold at most ``limit`` elements together, or a single pair."""
+    if sizes.sum() <= limit:
+        yield slice(0, len(i))
+        return
+    start, held, total = 0, set(), 0
+    for at, pair in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
+        new = {x for x in pair if x not in held}
+        more = int(sum(sizes[x] for x in new))
+        if at > start and total + more > limit:
+            yield slice(start, at)
+            start, held, total = at, set(), 0
+            new, more = set(pair), int(sizes[list(pair)].sum())
+        held |= new
+        total += more
+    yield slice(start, len(i))
+
+
 class Sets:
-    """Full sets by doc, read once per group of units."""
+    """Full sets by doc, read once per group of units as long as they fit; beyond ``GATHER * 2`` elements they are read again."""
 
     def __init__(self, root: str):
         self.reader, self.known, self.held = Reader(root), {}, 0
@@ -169,8 +187,8 @@ class Sets:
                 self.held += r.n
 
 
-def _verify(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, forest: Forest, percent: int) -> None:
-    """Join i and j in the forest where 100 * intersection >= percent * union; sets are places into ``sets``."""
+def _verify(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, forest: Forest, percent: int, names: np.ndarray) -> None:
+    """Join i and j in the forest where 100 * intersection >= percent * union; i and j are places into ``sets``, whose place in the forest ``names`` has."""
     words, places = np.unique(np.concatenate(sets), return_inverse=True)
     sizes = np.array([len(s) for s in sets])
     ends = np.cumsum(sizes)
@@ -179,8 +197,8 @@ def _verify(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, forest: Forest
     i, j = i[order], j[order]
     bounds = np.nonzero(np.diff(i))[0] + 1
     for a, others in zip(i[np.r_[0, bounds]], np.split(j, bounds), strict=True):
-        root = forest.find(int(a))
-        others = np.array([b for b in others.tolist() if forest.find(b) != root], int)
+        root = forest.find(int(names[a]))
+        others = np.array([b for b in others.tolist() if forest.find(int(names[b])) != root], int)
         mine = places[ends[a] - sizes[a] : ends[a]]
         mark[mine] = True
         step = max(1, GATHER // int(sizes.max()))
@@ -188,7 +206,7 @@ def _verify(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, forest: Forest
             some = others[at : at + step]
             both = np.add.reduceat(mark[np.concatenate([places[ends[b] - sizes[b] : ends[b]] for b in some])].astype(np.int64), np.r_[0, np.cumsum(sizes[some])[:-1]])
             for b in some[100 * both >= percent * (sizes[a] + sizes[some] - both)].tolist():
-                forest.join(int(a), b)
+                forest.join(int(names[a]), int(names[b]))
         mark[mine] = False
 
 
@@ -224,9 +242,16 @@ def _units(root: str, percent: int):
             if not len(i):
                 continue
             used, places = np.unique(np.concatenate([i, j]), return_inverse=True)
-            store.load([rows[lo + x] for x in used])
             forest = Forest(len(used))
-            _verify([store.known[rows[lo + x].doc_id] for x in used], places[: len(i)], places[len(i) :], forest, percent)
+            i, j = places[: len(i)], places[len(i) :]
+            for block in _blocks(i, j, m[used], GATHER):
+                # Pairs that earlier blocks have put into one tree need no sets.
+                some = [(a, b) for a, b in zip(i[block].tolist(), j[block].tolist(), strict=True) if forest.find(a) != forest.find(b)]
+                if some:
+                    names, at = np.unique(np.array(some), return_inverse=True)
+                    at = at.reshape(-1, 2)
+                    store.load([rows[lo + used[x]] for x in names])
+                    _verify([store.known[rows[lo + used[x]].doc_id] for x in names], at[:, 0], at[:, 1], forest, percent, names)
             edges += [(ids[lo + used[a]], ids[lo + used[b]]) for a, b in forest.edges]
         return pd.DataFrame(edges, columns=["a", "b"]).astype("int64")
 

@@ -579,6 +579,41 @@ def test_near_duplicates_against_brute_force(spark, docs, rows, nothing):
         minhash.near_duplicates(docs, 50)
 
 
+def test_blocks_of_pairs_hold_bounded_sets():
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(1, 90, 60)
+    i, j = (np.array(x) for x in zip(*[(a, b) for a in range(60) for b in range(a + 1, 60) if rng.random() < 0.2], strict=True))
+    blocks = list(minhash._blocks(i, j, sizes, 200))
+    assert [k for b in blocks for k in range(b.start, b.stop)] == list(range(len(i)))
+    assert all(b.stop - b.start == 1 or sizes[np.unique(np.concatenate([i[b], j[b]]))].sum() <= 200 for b in blocks)
+    assert list(minhash._blocks(i, j, sizes, int(sizes.sum()))) == [slice(0, len(i))]
+
+
+def test_units_of_long_texts_in_blocks(tmp_path, monkeypatch):
+    import pandas as pd
+
+    rng = random.Random(12)
+    texts = []
+    for size in (40, 400, 3000):
+        base = words(rng, size).split()
+        for _ in range(12):
+            w = list(base)
+            for _ in range(rng.randint(0, size // 60)):
+                w[rng.randrange(size)] = words(rng, 1)
+            texts.append(" ".join(w))
+    pdf = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})
+    meta = pd.concat(minhash._sets(f"file://{tmp_path}")(iter([pdf])))
+    # One unit for every key, of all documents: pairs that share no key are told apart inside.
+    units = pd.concat([meta.drop(columns="name").assign(unit=k, k=k, one=0, two=0, part=0) for k in range(minhash.SYMBOLS)])
+    _, want = brute_near(list(enumerate(texts)))
+    for gather in (50, 2000, 1 << 22):
+        monkeypatch.setattr(minhash, "GATHER", gather)
+        links = minhash._units(f"file://{tmp_path}", 85)(units.astype({"doc_id": "int64", "at": "int64"}))
+        up = embeddings.Forest(len(texts))
+        up.join_all(links["a"].to_numpy(), links["b"].to_numpy())
+        assert {k: up.find(k) for k in range(len(texts))} == want
+
+
 def test_keys_meet_all_pairs_up_to_the_distance():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**16, (400, minhash.SYMBOLS)).astype(np.uint16)
