@@ -29,9 +29,12 @@ TILE = 8192  # vectors in a tile, about
 STRIP = 128  # rows of a tile multiplied at once
 PIVOTS = 64  # vectors that steer tiles (a bounded sample; no effect on results)
 CHUNK = 8192  # pairs recomputed at once
+WAITING = 1 << 16  # undecided pairs that wait to be recomputed, about
+GAP = 8  # vectors between two wanted ones that are read along with them
 SALTS = 16  # over which pairs of tiles are listed, at least
 LISTED = 32  # tiles that one salt has, about, when there are many
 SLACK = 1e-9  # for rounding in the bounds themselves
+ROUNDING = 1e-5  # for single precision in the first look; its values are at most about 1, so rounding stays below 1e-6
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,20 +72,24 @@ class Forest:
 
     def join_all(self, i: np.ndarray, j: np.ndarray) -> None:
         """Join every pair; each round at least halves the trees that links reach, so only joins cost a step of Python."""
+        root, pick = np.empty(len(self.up), np.int64), np.empty(len(self.up), np.int64)
         while len(i):
-            up = np.array(self.up)
-            while (up[up] != up).any():
-                up = up[up]
-            self.up = up.tolist()
-            apart = up[i] != up[j]
+            seen = np.zeros(len(self.up), bool)
+            seen[i] = seen[j] = True
+            places = np.nonzero(seen)[0]
+            root[places] = [self.find(p) for p in places.tolist()]
+            apart = root[i] != root[j]
             i, j = i[apart], j[apart]
-            first = np.unique(up[j], return_index=True)[1]
-            for a, b in zip(i[first].tolist(), j[first].tolist(), strict=True):
+            pick[root[j]] = np.arange(len(j))  # one link of each tree on the second side
+            reached = np.zeros(len(self.up), bool)
+            reached[root[j]] = True
+            some = pick[reached]
+            for a, b in zip(i[some].tolist(), j[some].tolist(), strict=True):
                 self.join(a, b)
 
 
 class Tile:
-    """A tile's codes; ``rows`` gives its unit vectors, ``read(offset, length)`` being asked for each vector at most once."""
+    """A tile's codes; ``rows`` gives its unit vectors, got by ``read(offset, length)`` of its file when first asked for."""
 
     def __init__(self, ids: np.ndarray, weights: np.ndarray, codes: np.ndarray, scale: np.ndarray, error: np.ndarray, read, kind: str):
         self.ids, self.weights, self.codes, self.scale, self.error = ids, weights, codes, scale, error
@@ -94,12 +101,13 @@ class Tile:
         if self.held is None:
             self.held = np.empty((n, width))
         missing = np.unique(at[~self.has[at]])
-        size = width * self.kind.itemsize
-        runs = np.split(missing, np.nonzero(np.diff(missing) > 1)[0] + 1) if 4 * len(missing) < n else [np.arange(n)] if len(missing) else []
-        for run in runs:
-            if len(run):
-                raw = np.frombuffer(self.read(int(run[0]) * size, len(run) * size), self.kind).reshape(len(run), width)
-                self.held[run], self.has[run] = unit(raw.astype(np.float64)), True
+        if len(missing):
+            size = width * self.kind.itemsize
+            parts = []
+            for run in np.split(missing, np.nonzero(np.diff(missing) > GAP)[0] + 1):
+                low, many = int(run[0]), int(run[-1] - run[0]) + 1
+                parts.append(np.frombuffer(self.read(low * size, many * size), self.kind).reshape(many, width)[run - low])
+            self.held[missing], self.has[missing] = unit(np.concatenate(parts).astype(np.float64)), True
         return self.held[at]
 
 
@@ -115,23 +123,44 @@ def tile_links(one: Tile, two: Tile | None, threshold: float):
     turned = two.codes.astype(kind).T
     cx, cy, forest = np.zeros(n, np.int64), np.zeros(m, np.int64), Forest(n + (0 if own else m))
     shift = 0 if own else n
+    open_i: list[np.ndarray] = []
+    open_j: list[np.ndarray] = []
+
+    one_scale, two_scale, one_length, two_error = (x.astype(np.float32) for x in (one.scale, two.scale, one.length, two.error))
+    one_floor = (threshold - one.error - ROUNDING).astype(np.float32)
+
+    def count(i: np.ndarray, j: np.ndarray) -> None:
+        np.add.at(cx, i, two.weights[j])
+        np.add.at(cx if own else cy, j, one.weights[i])
+        forest.join_all(i, j + shift)
+
     for at in range(0, n, STRIP):
         rows = slice(at, min(at + STRIP, n))
-        near = (one.codes[rows].astype(kind) @ turned).astype(np.float64) * one.scale[rows, None] * two.scale[None, :]
-        error = one.length[rows, None] * two.error[None, :] + one.error[rows, None] + SLACK  # a vector of the second has length 1
+        # First in single precision with room for its rounding, then the bounds of those that pass.
+        dots = one.codes[rows].astype(kind) @ turned
+        upper = dots * one_scale[rows, None]
+        upper *= two_scale
+        upper += one_length[rows, None] * two_error
+        i, j = np.nonzero(upper >= one_floor[rows, None])
         if own:
-            near[np.arange(m)[None, :] <= np.arange(rows.start, rows.stop)[:, None]] = -9
-        i, j = np.nonzero(near + error >= threshold)
-        sure = (near[i, j] - error[i, j]) >= threshold
+            later = j > i + at
+            i, j = i[later], j[later]
+        near = dots[i, j].astype(np.float64)
         i = i + at
-        open_ = np.nonzero(~sure)[0]
-        for c in range(0, len(open_), CHUNK):
-            part = open_[c : c + CHUNK]
-            sure[part] = np.einsum("ij,ij->i", one.rows(i[part]), two.rows(j[part])) >= threshold
-        i, j = i[sure], j[sure]
-        np.add.at(cx, i, two.weights[j])
-        np.add.at(cx if own else cy, j, one.weights[i])
-        forest.join_all(i, j + shift)
+        near *= one.scale[i] * two.scale[j]
+        error = one.length[i] * two.error[j] + one.error[i] + SLACK  # a vector of the second has length 1
+        some = near + error >= threshold
+        i, j, sure = i[some], j[some], (near - error >= threshold)[some]
+        count(i[sure], j[sure])
+        open_i.append(i[~sure])
+        open_j.append(j[~sure])
+        if sum(map(len, open_i)) >= WAITING or rows.stop == n:
+            i, j = np.concatenate(open_i), np.concatenate(open_j)
+            for c in range(0, len(i), CHUNK):
+                some = i[c : c + CHUNK], j[c : c + CHUNK]
+                links = np.einsum("ij,ij->i", one.rows(some[0]), two.rows(some[1])) >= threshold
+                count(some[0][links], some[1][links])
+            open_i, open_j = [], []
     return cx, cy, forest.edges
 
 
