@@ -41,13 +41,13 @@ CASES = [
 @pytest.mark.parametrize(("query", "reference", "want"), CASES)
 def test_greedy_match(spark, query, reference, want):
     side = lambda rows: spark.createDataFrame([(i, s, e, 0) for i, s, e in rows], "id long, s long, e long, chrom long")
-    got = intervals.greedy_match(side(query), side(reference), width=16)
+    got = intervals.greedy_match(side(query), side(reference), piece=2)
     assert {tuple(r) for r in got.collect()} == want
     every = {tuple(r)[:2] for r in intervals.overlap_pairs(side(query), side(reference), 16).collect()}
     assert want <= every
 
 
-def test_greedy_match_in_islands_is_the_global_merge(spark):
+def test_greedy_match_in_pieces_is_the_global_merge(spark):
     import random
 
     rng = random.Random(5)
@@ -66,7 +66,34 @@ def test_greedy_match_in_islands_is_the_global_merge(spark):
         else:
             i += 1
     side = lambda rows: spark.createDataFrame([(i, s, e, 0) for i, s, e in rows], "id long, s long, e long, chrom long")
-    assert {tuple(x) for x in intervals.greedy_match(side(q), side(r), width=100).collect()} == want
+    assert {tuple(x) for x in intervals.greedy_match(side(q), side(r), piece=20).collect()} == want
+
+
+def test_matches_across_pieces_and_chromosomes(spark, monkeypatch):
+    import random
+
+    rng = random.Random(8)
+    q, r, want = [], [], set()
+    frac = lambda a, b: 0 if a[0] > b[1] or b[0] > a[1] else (min(a[1], b[1]) - max(a[0], b[0]) + 1) / (a[1] - a[0])
+    for chrom in ("x", None, "y"):
+        one = [(s, s + rng.randint(20, 300), len(q) + k) for k in range(150) for s in [rng.randint(0, 900)]]
+        two = [(max(0, s + rng.randint(-9, 9)), e + rng.randint(-9, 9), len(r) + k) for k, (s, e, _) in enumerate(one)]
+        q, r = q + [(i, s, e, chrom) for s, e, i in one], r + [(i, s, e, chrom) for s, e, i in two]
+        one, two, i, j = sorted(one), sorted(two), 0, 0
+        while i < len(one) and j < len(two):
+            if frac(one[i], two[j]) > 0.8 and frac(two[j], one[i]) > 0.8:
+                want.add((one[i][2], two[j][2]))
+                i, j = i + 1, j + 1
+            elif two[j][0] < one[i][0]:
+                j += 1
+            else:
+                i += 1
+    rounds, save = [], intervals.Scratch.save
+    monkeypatch.setattr(intervals.Scratch, "save", lambda self, df, name: rounds.append(name) or save(self, df, name))
+    side = lambda rows: spark.createDataFrame([*rows, (999, None, 5, "x")], "id long, s long, e long, chrom string")
+    got = [tuple(x) for x in intervals.greedy_match(side(q), side(r), by_chrom=True, piece=40).collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert rounds.count("exits") > 1  # some pointers did cross a start
 
 
 def test_interval_of_no_length_raises(spark):
