@@ -6,10 +6,12 @@ in its block either way, a column strand says whether it lies forward.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from strandloom.functions.sequence import edge_score, jukes_cantor_different, packed_differences, packed_letters
-from strandloom.runtime import Scratch
+from strandloom.functions.sequence import edge_score, jukes_cantor_different
+from strandloom.runtime import Scratch, ship
 
 WIDTH = 1 << 22  # positions of a thread that one task looks at together
 
@@ -195,13 +197,63 @@ def graph_dot(segments: DataFrame, adjacencies: DataFrame) -> DataFrame:
 # --- pairs of threads over the blocks of a chain ------------------------------------------------
 
 
-def snp_pairs(aligned: DataFrame) -> DataFrame:
-    """(t1, t2, same, different) summed over blocks of aligned(block_id, thread, bases) with equally long bases in a block."""
-    packed = aligned.select("block_id", "thread", F.length("bases").alias("n"), packed_letters("bases").alias("x"))
-    a, b = packed.alias("a"), packed.alias("b")
-    pairs = a.join(b, (F.col("a.block_id") == F.col("b.block_id")) & (F.col("a.thread") < F.col("b.thread")))
-    out = pairs.select(F.col("a.thread").alias("t1"), F.col("b.thread").alias("t2"), F.col("a.n").alias("n"), packed_differences("a.x", "b.x").alias("d"))
-    return out.groupBy("t1", "t2").agg(F.sum(F.col("n") - F.col("d")).cast("long").alias("same"), F.sum("d").cast("long").alias("different"))
+def _letter_counts(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Agreeing letters of the threads of two tiles: rows (one, two, tile, block_id, thread, bases) of some blocks, all of a block's rows being there."""
+    one, two = pdf["one"].iloc[0], pdf["two"].iloc[0]
+    names, at = zip(*(np.unique(pdf.loc[pdf["tile"] == t, "thread"].to_numpy(), return_inverse=True) for t in (one, two)), strict=True)
+    place = np.empty(len(pdf), np.int64)
+    for t, x in zip((one, two), at, strict=True):
+        place[(pdf["tile"] == t).to_numpy()] = x
+    same, length, joint = (np.zeros((len(names[0]), len(names[1]))) for _ in range(3))
+    rows, tiles = pdf["bases"].to_numpy(), pdf["tile"].to_numpy()
+    for block in pdf.groupby("block_id").indices.values():
+        sides = [block[tiles[block] == t] for t in (one, two)]
+        width = len(rows[block[0]])
+        if any(len(rows[k]) != width for k in block):
+            raise ValueError("bases of a block must be equally long")
+        x, y = (np.frombuffer(b"".join(rows[k]), np.uint8).reshape(len(k), width) for k in sides)
+        (p, n), (q, m) = (np.unique(place[k], return_counts=True) for k in sides)
+        here = np.ix_(p, q)
+        joint[here] += np.outer(n, m)
+        length[here] += np.outer(n, m) * width
+        for letter in np.intersect1d(x, y):
+            # A thread's segments in one block are added up first; products of small counts are exact.
+            a, b = np.zeros((len(p), width), np.float32), np.zeros((len(q), width), np.float32)
+            np.add.at(a, np.searchsorted(p, place[sides[0]]), x == letter)
+            np.add.at(b, np.searchsorted(q, place[sides[1]]), y == letter)
+            same[here] += a @ b.T
+    i, j = np.nonzero(joint)
+    if one == two:
+        i, j = i[i < j], j[i < j]
+    t1, t2 = names[0][i], names[1][j]
+    low = t1 < t2
+    total, agree = length[i, j].astype(np.int64), same[i, j].astype(np.int64)
+    return pd.DataFrame({"t1": np.where(low, t1, t2), "t2": np.where(low, t2, t1), "same": agree, "different": total - agree})
+
+
+def snp_pairs(aligned: DataFrame, tile: int = 256, blocks: int = 1024) -> DataFrame:
+    """(t1, t2, same, different) summed over blocks of aligned(block_id, thread, bases) with equally long bases in a block.
+
+    Letters agree whatever their case; sequences are ASCII, others raise. Rows without block, thread or bases take no part.
+    Threads are dealt into tiles of about ``tile``; a pair of tiles that share blocks counts all its pairs of threads by products of
+    one-hot matrices, about ``blocks`` blocks to a task. So rows are repeated once for each tile that their block meets, and pairs are not listed by block.
+    """
+    spark = aligned.sparkSession
+    ship(spark)
+    scratch = Scratch(spark, "snps")
+    bases = F.col("bases")
+    plain = F.when(F.octet_length(bases) == F.length(bases), F.upper(bases).cast("binary")).otherwise(F.raise_error(F.lit("sequences are ASCII")).cast("binary"))
+    rows = scratch.save(aligned.filter("block_id is not null and thread is not null and bases is not null").select("block_id", "thread", plain.alias("bases")), "aligned")
+    size = rows.agg(F.approx_count_distinct("thread").alias("threads"), F.approx_count_distinct("block_id").alias("blocks")).first()
+    tiles, parts = max(1, -(-size.threads // tile)), max(1, -(-size.blocks // blocks))
+    rows = rows.withColumn("tile", F.pmod(F.xxhash64("thread"), F.lit(tiles)))
+    have = rows.select("block_id", "tile").distinct()
+    a, b = have.alias("a"), have.alias("b")
+    pairs = a.join(b, (F.col("a.block_id") == F.col("b.block_id")) & (F.col("a.tile") <= F.col("b.tile"))).select("a.block_id", F.col("a.tile").alias("one"), F.col("b.tile").alias("two"))
+    ends = pairs.withColumn("tile", F.explode(F.array_distinct(F.array("one", "two")))).withColumn("part", F.pmod(F.xxhash64("block_id"), F.lit(parts)))
+    kind = aligned.schema["thread"].dataType.simpleString()
+    out = rows.join(ends, ["block_id", "tile"]).select("one", "two", "part", "tile", "block_id", "thread", "bases").groupBy("one", "two", "part").applyInPandas(_letter_counts, f"t1 {kind}, t2 {kind}, same long, different long")
+    return out if parts == 1 else out.groupBy("t1", "t2").agg(F.sum("same").alias("same"), F.sum("different").alias("different"))
 
 
 def breakpoint_pairs(members: DataFrame, threads: DataFrame) -> DataFrame:

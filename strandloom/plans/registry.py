@@ -493,10 +493,10 @@ SAME = "len(list_filter(range(1, 61), lambda k: upper(x.bases[k]) = upper(y.base
 
 @query("segment_identity", f"{BLOCKS} SELECT x.block_id, x.thread AS t1, y.thread AS t2, {SAME}::BIGINT AS same FROM {ALIGNED} x JOIN {ALIGNED} y ON x.block_id = y.block_id AND x.thread < y.thread")
 def segment_identity(spark, d):
-    x = _aligned(spark, d)
+    x = _aligned(spark, d).select("block_id", "thread", F.length("bases").alias("n"), fn.packed_letters("bases").alias("x"))
     a, c = x.alias("a"), x.alias("c")
     pairs = a.join(c, (F.col("a.block_id") == F.col("c.block_id")) & (F.col("a.thread") < F.col("c.thread")))
-    return pairs.select("a.block_id", F.col("a.thread").alias("t1"), F.col("c.thread").alias("t2"), fn.identity_count("a.bases", "c.bases").cast("long").alias("same"))
+    return pairs.select("a.block_id", F.col("a.thread").alias("t1"), F.col("c.thread").alias("t2"), (F.col("a.n") - fn.packed_differences("a.x", "c.x")).cast("long").alias("same"))
 
 
 SNPS = f", snps AS (SELECT x.thread AS t1, y.thread AS t2, CAST(sum({SAME}) AS BIGINT) AS same, CAST(sum(60 - {SAME}) AS BIGINT) AS different FROM {ALIGNED} x JOIN {ALIGNED} y ON x.block_id = y.block_id AND x.thread < y.thread GROUP BY ALL)"

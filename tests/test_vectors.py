@@ -340,6 +340,31 @@ def test_aligned_pairs_count_a_place_once(spark):
     assert [tuple(r) for r in got] == [("a", "b", 100)]
 
 
+def test_snp_pairs_by_tiles(spark):
+    import collections
+    import random
+
+    from strandloom.operators import blockgraph
+
+    rng = random.Random(4)
+    rows = [(block, rng.randrange(25), "".join(rng.choice("ACGTNacgt") for _ in range(3 * block))) for block in range(9) for _ in range(14)]
+    want = collections.defaultdict(lambda: [0, 0])
+    for b1, t1, x in rows:
+        for b2, t2, y in rows:
+            if b1 == b2 and t1 < t2:
+                same = sum(p == q for p, q in zip(x.upper(), y.upper(), strict=True))
+                want[t1, t2][0] += same
+                want[t1, t2][1] += len(x) - same
+    plain = spark.createDataFrame([*rows, (None, 1, "A"), (1, None, "AAA"), (1, 90, None)], "block_id long, thread long, bases string")
+    named = plain.withColumn("thread", F.format_string("t%03d", "thread"))
+    for tile, blocks in ((256, 1024), (4, 2)):
+        got = {(r.t1, r.t2): [r.same, r.different] for r in blockgraph.snp_pairs(plain, tile, blocks).collect()}
+        assert got == want
+    got = {(int(r.t1[1:]), int(r.t2[1:])): [r.same, r.different] for r in blockgraph.snp_pairs(named.filter("thread <> 'tnull'"), 4).collect()}
+    assert got == want
+    assert blockgraph.snp_pairs(plain.filter("thread < 0")).count() == 0
+
+
 def test_identity_and_jukes_cantor(spark):
     df = spark.createDataFrame([("ACGT", "acga"), ("", "")], "a string, b string")
     assert [r.n for r in df.select(fn.identity_count("a", "b").alias("n")).collect()] == [3, 0]
