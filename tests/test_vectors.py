@@ -462,3 +462,31 @@ def test_small_pieces(spark):
     # Reversed and short matches are left out.
     m = pd.DataFrame([("x", "y", 0, 0, 9, True, 5, 1), ("x", "y", 20, 20, 9, False, 4, 2), ("x", "y", 40, 40, 3, True, 3, 3)], columns=["name1", "name2", "start1", "start2", "length", "strand", "score", "line"])
     assert len(pinch.fold(m, {"x": 100, "y": 100}, None, 5).blocks) == 1
+
+
+def _random_matches(seed, threads=12, size=60, n=400):
+    import random
+
+    rng, rows = random.Random(seed), []
+    for k in range(n):
+        one, two = rng.sample(range(threads), 2)
+        rows.append((f"t{one:02}", f"t{two:02}", rng.randrange(size - 9), rng.randrange(size - 9), rng.randint(1, 9), True, rng.randint(1, 5), k // 3))
+    return pd.DataFrame(rows, columns=["name1", "name2", "start1", "start2", "length", "strand", "score", "line"]), {f"t{k:02}": size for k in range(threads)}
+
+
+def test_full_blocks_are_passed_by_without_asking(monkeypatch):
+    monkeypatch.setattr(pinch, "MAX_DEGREE", 4)
+    matches, threads = _random_matches(1)
+    asked, single_copy = {True: 0, False: 0}, pinch.single_copy
+
+    def rule(graph, one, two):
+        asked[graph.limit is not None] += 1
+        return single_copy(graph, one, two, 4)
+
+    plain = pinch.fold(matches, threads, rule)  # a rule of the caller's own is asked about every piece
+    monkeypatch.setattr(pinch, "single_copy", rule)
+    quick = pinch.fold(matches, threads, rule)
+    assert (quick.blocks, quick.cuts, quick.forward) == (plain.blocks, plain.cuts, plain.forward)
+    assert 0 < asked[True] < asked[False] / 2
+    assert all(quick.names[b] == {t for t, _ in segs} for b, segs in quick.blocks.items())
+    assert max(map(len, quick.blocks.values())) > 4
