@@ -490,3 +490,12 @@ def test_full_blocks_are_passed_by_without_asking(monkeypatch):
     assert 0 < asked[True] < asked[False] / 2
     assert all(quick.names[b] == {t for t, _ in segs} for b, segs in quick.blocks.items())
     assert max(map(len, quick.blocks.values())) > 4
+
+
+def test_the_fold_does_not_depend_on_the_order_of_rows():
+    matches, threads = _random_matches(2)
+    matches["start1"] = matches["line"] % 50  # as of an order's lines: equal scores, lines and starts
+    matches["score"] = 1
+    graphs = [pinch.fold(m, threads, pinch.single_copy) for m in (matches, matches.iloc[::-1], matches.sample(frac=1, random_state=3))]
+    assert graphs[0].ordering() == graphs[1].ordering() == graphs[2].ordering()
+    assert graphs[0].blocks == graphs[1].blocks == graphs[2].blocks
