@@ -499,3 +499,13 @@ def test_the_fold_does_not_depend_on_the_order_of_rows():
     graphs = [pinch.fold(m, threads, pinch.single_copy) for m in (matches, matches.iloc[::-1], matches.sample(frac=1, random_state=3))]
     assert graphs[0].ordering() == graphs[1].ordering() == graphs[2].ordering()
     assert graphs[0].blocks == graphs[1].blocks == graphs[2].blocks
+
+
+def test_only_wanted_facts_are_made(spark, monkeypatch):
+    matches, threads = _random_matches(3)
+    frames = spark.createDataFrame(matches), spark.createDataFrame(list(threads.items()), "name string, length long")
+    every = pinch.component_facts(*frames, min_length=4)
+    assert every.columns == ["component", "n_blocks", "acyclic", "dense_path", "reached"]
+    few = pinch.component_facts(*frames, min_length=4, wanted=("dense_path",))
+    assert few.columns == ["component", "dense_path"]
+    assert few.collect() == every.select("component", "dense_path").collect()
