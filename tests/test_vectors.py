@@ -509,3 +509,13 @@ def test_only_wanted_facts_are_made(spark, monkeypatch):
     few = pinch.component_facts(*frames, min_length=4, wanted=("dense_path",))
     assert few.columns == ["component", "dense_path"]
     assert few.collect() == every.select("component", "dense_path").collect()
+
+
+def test_one_walk_reaches_what_the_single_walks_reach():
+    for seed in range(6):
+        matches, threads = _random_matches(seed, n=12)
+        g = pinch.fold(matches, threads, pinch.single_copy)
+        start = (min(g.cuts), 0)
+        every = [(t, s) for t, cuts in g.cuts.items() for s in cuts[:-1]]
+        assert g.reached(start) == {seg for seg in every if g.walk_exists(start, seg, True)}
+        assert len(g.reached(start)) < len(every)
