@@ -519,3 +519,20 @@ def test_one_walk_reaches_what_the_single_walks_reach():
         every = [(t, s) for t, cuts in g.cuts.items() for s in cuts[:-1]]
         assert g.reached(start) == {seg for seg in every if g.walk_exists(start, seg, True)}
         assert len(g.reached(start)) < len(every)
+
+
+def test_ends_met_thread_by_thread():
+    for seed in range(3):
+        matches, threads = _random_matches(seed, n=30)
+        g = pinch.fold(matches, threads, None)
+        g.pinch("t00", "t01", 3, 20, 7, False)  # what was known of the ends goes with a pinch
+        for block, segs in g.blocks.items():
+            for right in (False, True):
+                out = set()
+                for seg in segs:
+                    ahead = g.forward[seg] == right
+                    other = g.next_block(seg, ahead)
+                    if other is not None:
+                        out.add((g.block[other], g.forward[other] != ahead))
+                assert g.ends(block, right) == sorted(out)
+    assert g._touching is not None
