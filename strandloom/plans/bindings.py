@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strandloom.operators import blockgraph, distances
-from strandloom.runtime import table
+from strandloom.runtime import Scratch, table
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 BASES = ("ACGT" * 7)[:26]
@@ -24,6 +24,11 @@ def document_pairs(spark: SparkSession, d: str, k: int = 5) -> DataFrame:
     return distances.shared_grams(distances.shingles(table(spark, d, "documents"), k))
 
 
+def similar_documents(spark: SparkSession, d: str, k: int = 5, least: float = 0.25) -> tuple[DataFrame, DataFrame]:
+    """Pairs of classes of documents of equal shingles that share more than ``least``, and the classes' members."""
+    return distances.similar_sets(distances.shingles(table(spark, d, "documents"), k), least, Scratch(spark, "similar"))
+
+
 PAIRS = r"""
 words AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '\s+'), lambda w: w <> '') AS w FROM documents),
 grams AS (SELECT DISTINCT doc_id AS id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM words WHERE len(w) >= 5),

@@ -536,3 +536,30 @@ def test_ends_met_thread_by_thread():
                         out.add((g.block[other], g.forward[other] != ahead))
                 assert g.ends(block, right) == sorted(out)
     assert g._touching is not None
+
+
+def test_similar_sets_find_every_pair_above_the_least(spark):
+    import random
+
+    rng, sets = random.Random(4), []
+    for _ in range(40):
+        base = [rng.randrange(60) if rng.random() < 0.6 else rng.randrange(10**6) for _ in range(rng.randint(1, 24))]
+        for _ in range(rng.randint(1, 3)):
+            sets.append(sorted({x if rng.random() < 0.8 else rng.randrange(90) for x in base}))
+    sets += sets[:9] + sets[:4]
+    want = {}
+    for j, y in enumerate(sets):
+        for i, x in enumerate(sets[:j]):
+            m = len(set(x) & set(y))
+            if 8 * m > len(x) + len(y):
+                want[i, j] = m, len(x), len(y)
+    frame = spark.createDataFrame(list(enumerate(sets)), "id long, grams array<long>")
+    pairs, members = distances.similar_sets(frame, 0.25, Scratch(spark, "similar"))
+    got = distances.member_pairs(pairs, members).collect()
+    assert len(got) == len(want) and {(r.i, r.j): (r.m, r.len_i, r.len_j) for r in got} == want
+    every = {frozenset((r.id, r.rep)) for r in members.collect() if r.id != r.rep}
+    assert len(every) >= 9 and pairs.count() < len(want)  # copies are not listed as pairs
+    table = spark.createDataFrame([(i, j, 0.0) for i, j in want], "i long, j long, d double")
+    links = distances.class_links(pairs, members).withColumn("d", F.lit(0.0))
+    one, two = (sorted(map(tuple, distances.clusters(x).collect())) for x in (table, links))
+    assert one == two
