@@ -26,7 +26,9 @@ def document_pairs(spark: SparkSession, d: str, k: int = 5) -> DataFrame:
 
 def similar_documents(spark: SparkSession, d: str, k: int = 5, least: float = 0.25) -> tuple[DataFrame, DataFrame]:
     """Pairs of classes of documents of equal shingles that share more than ``least``, and the classes' members."""
-    return distances.similar_sets(distances.shingles(table(spark, d, "documents"), k), least, Scratch(spark, "similar"))
+    docs = table(spark, d, "documents")
+    about = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 4  # a word and its space
+    return distances.similar_sets(distances.shingles(docs, k), least, Scratch(spark, "similar"), about)
 
 
 PAIRS = r"""

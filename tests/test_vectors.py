@@ -563,3 +563,24 @@ def test_similar_sets_find_every_pair_above_the_least(spark):
     links = distances.class_links(pairs, members).withColumn("d", F.lit(0.0))
     one, two = (sorted(map(tuple, distances.clusters(x).collect())) for x in (table, links))
     assert one == two
+
+
+def test_grams_of_several_sets_come_back_in_bundles_and_parts(spark):
+    """Whole bundles travel as bytes: no row per gram, whatever bundles and parts there are."""
+    rows = [(f"d{k}", [(k * 7 + x * x) * 0x9E3779B97F4A7 % (1 << 63) * (-1) ** x for x in range(k % 13 + 1)]) for k in range(60)] + [("alone", [5]), ("none", [])]
+    frame = spark.createDataFrame(rows, "id string, grams array<bigint>").withColumn("grams", F.array_distinct("grams"))
+    sets = {r.id: set(r.grams) for r in frame.collect()}
+    df = {g: sum(g in s for s in sets.values()) for s in sets.values() for g in s}
+    want = {i: (len(s), sorted((g for g in s if df[g] > 1), key=lambda g: (df[g], g % (1 << 64)))) for i, s in sets.items() if any(df[g] > 1 for g in s)}
+    saved = {}
+
+    class Watched(Scratch):
+        def save(self, df, name):
+            saved[name] = df.schema.simpleString()
+            return super().save(df, name)
+
+    for size, about in ((1 << 20, None), (16, None), (16, 10)):
+        scratch = Watched(spark, "grams")
+        got = distances.several_grams(frame.repartition(3), scratch, about, size).collect()
+        assert {r.id: (r.n, list(r.live)) for r in got} == want and len(got) == len(want)
+    assert "g:binary" in saved["several"]
