@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from strandloom.functions.sequence import edge_score, jukes_cantor_different
@@ -256,26 +258,114 @@ def snp_pairs(aligned: DataFrame, tile: int = 256, blocks: int = 1024) -> DataFr
     return out if parts == 1 else out.groupBy("t1", "t2").agg(F.sum("same").alias("same"), F.sum("different").alias("different"))
 
 
-def breakpoint_pairs(members: DataFrame, threads: DataFrame) -> DataFrame:
+def _packed(group: pa.Table) -> pa.Table:
+    """A tile's members as one row: its threads in order, and for each member its thread's place, its block and neighbours, as bytes."""
+    threads = group["thread"].combine_chunks()
+    keys = threads.unique()
+    keys = keys.take(pc.sort_indices(keys))
+    here = np.asarray(pc.is_valid(group["block_id"]))
+    at = np.asarray(pc.index_in(threads, keys)).astype(np.uint32)[here]
+    number = lambda c: np.asarray(pc.fill_null(group[c], 0)).astype(np.int64)[here]
+    sides = sum(np.asarray(pc.is_valid(group[c])).astype(np.uint8)[here] << bit for bit, c in enumerate(("left_block", "right_block")))
+    columns = {"at": at, "block": number("block_id"), "left": number("left_block"), "right": number("right_block"), "sides": sides}
+    one = {c: pa.array([x.tobytes()], pa.binary()) for c, x in columns.items()}
+    return pa.table({"tile": group["tile"].combine_chunks().slice(0, 1), "threads": pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys), **one})
+
+
+MEMBER = {"at": np.uint32, "block": np.int64, "left": np.int64, "right": np.int64, "sides": np.uint8}
+
+
+def _products(total: np.ndarray, sides: list[tuple[np.ndarray, np.ndarray]]) -> None:
+    """Add to total[p, q] how many pairs of members, p's of one side and q's of the other, have equal codes. sides: (places, codes)."""
+    runs = []
+    for at, code in sides:
+        order = np.argsort(code, kind="stable")
+        codes, first = np.unique(code[order], return_index=True)
+        runs.append((codes, np.split(at[order], first[1:])))
+    common, i, j = np.intersect1d(runs[0][0], runs[1][0], assume_unique=True, return_indices=True)
+    for k in range(len(common)):
+        (p, n), (q, m) = (np.unique(x, return_counts=True) for x in (runs[0][1][i[k]], runs[1][1][j[k]]))
+        total[np.ix_(p, q)] += 1 if n.max() == m.max() == 1 else np.outer(n, m).astype(total.dtype)
+
+
+def _codes(sides: list[dict], neighbour: str) -> list[np.ndarray]:
+    """Numbers for (block, neighbour) that are equal on both sides if and only if these are."""
+    numbered = []
+    for c in ("block", neighbour):
+        values, inverse = np.unique(np.concatenate([s[c] for s in sides]), return_inverse=True)
+        numbered.append((len(values), inverse.astype(np.int64)))
+    code = numbered[0][1] * numbered[1][0] + numbered[1][1]
+    return np.split(code, [len(sides[0]["block"])])
+
+
+def _breaks_of(one: dict, two: dict, shape: tuple[int, int], width: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """(same, different) of all threads of one tile with all of another; those of ``one`` are the first ones of their pairs."""
+    sides = [one, two]
+    joint, missed, same = np.zeros(shape, np.float32), np.zeros(shape, np.float32), np.zeros(shape, np.int32)
+    left, right = [s["sides"] & 1 > 0 for s in sides], [s["sides"] & 2 > 0 for s in sides]
+    blocks = np.intersect1d(one["block"], two["block"])
+    for start in range(0, len(blocks), width):  # products of small counts are exact
+        some, dense = blocks[start : start + width], []
+        for s, weight in ((one, None), (one, left[0] * (1 + ~right[0])), (two, None)):
+            k = np.flatnonzero(np.isin(s["block"], some))
+            rows = np.unique(s["at"][k])
+            x = np.zeros((len(rows), len(some)), np.float32)
+            np.add.at(x, (np.searchsorted(rows, s["at"][k]), np.searchsorted(some, s["block"][k])), 1 if weight is None else weight[k])
+            dense.append((rows, x))
+        here = np.ix_(dense[0][0], dense[2][0])
+        joint[here] += dense[0][1] @ dense[2][1].T
+        missed[here] += dense[1][1] @ dense[2][1].T
+    codes = _codes(sides, "left")
+    _products(same, [(s["at"][k], c[k]) for s, c, k in zip(sides, codes, left, strict=True)])
+    missed -= same  # what has a left neighbour that is not equal, or no right one
+    codes = _codes(sides, "right")
+    _products(same, [(s["at"][k], c[k]) for s, c, k in zip(sides, codes, (left[0] & right[0], right[1]), strict=True)])
+    n1, n2 = (np.bincount(np.unique(np.stack([s["at"].astype(np.int64), _codes([s, s], "block")[0]]), axis=1)[0], minlength=n) for s, n in zip(sides, shape, strict=True))
+    different = missed.astype(np.int32) - 4 * joint.astype(np.int32)
+    different += 2 * (n1[:, None] + n2[None, :]).astype(np.int32)
+    return same, different
+
+
+def _pair_rows(batches):
+    """Rows (t1, t2, same, different) of pairs of packed tiles, some rows of a tile at a time."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            x = {c: batch[c][k] for c in batch.schema.names}
+            one, two = ({c: np.frombuffer(x[f"{c}{s}"].as_buffer(), kind) for c, kind in MEMBER.items()} for s in (1, 2))
+            first, second = x["threads1"].values, x["threads2"].values
+            same, different = _breaks_of(one, two, (len(first), len(second)))
+            for start in range(0, len(first), rows := max(1, (1 << 18) // len(second))):
+                part = np.s_[start : start + rows]
+                i, j = np.indices(same[part].shape, np.int32, sparse=True)
+                there = np.broadcast_to(i + start < j, same[part].shape) if x["tile1"] == x["tile2"] else np.ones(same[part].shape, bool)
+                i, j = np.nonzero(there)
+                columns = [first.take(pa.array(i + start)), second.take(pa.array(j)), *(pa.array(m[part][there].astype(np.int64)) for m in (same, different))]
+                yield pa.RecordBatch.from_arrays(columns, names=["t1", "t2", "same", "different"])
+
+
+def breakpoint_pairs(members: DataFrame, threads: DataFrame, tile: int = 4096) -> DataFrame:
     """(t1, t2, same, different) of members(block_id, thread, left_block, right_block) over the blocks of a chain.
 
     A block that one of two threads lacks counts 2 different. Where both have it and t1 has a left
     neighbour: an equal one counts 1 same, another 1 different; then an equal right neighbour 1 same, a right neighbour that t1
     lacks 1 different, an unequal one nothing. Without a left neighbour nothing counts.
+
+    Threads are cut in their order into tiles of about ``tile``; two tiles meet in one row that holds the members of both, and all their pairs are counted
+    there by matrices. So what is shuffled is each tile once for each other one, not the pairs, which are only written.
     """
-    ids = threads.select("thread").distinct()
-    a, b = members.alias("a"), members.alias("b")
-    both = a.join(b, (F.col("a.block_id") == F.col("b.block_id")) & (F.col("a.thread") < F.col("b.thread")))
-    left = F.col("a.left_block").isNotNull()
-    eq = lambda c: F.coalesce(F.col(f"a.{c}") == F.col(f"b.{c}"), F.lit(False)).cast("int")
-    same = F.when(left, eq("left_block") + F.when(F.col("a.right_block").isNotNull(), eq("right_block")).otherwise(0)).otherwise(0)
-    different = F.when(left, (1 - eq("left_block")) + F.when(F.col("a.right_block").isNull(), 1).otherwise(0)).otherwise(0)
-    joint = both.groupBy(F.col("a.thread").alias("t1"), F.col("b.thread").alias("t2")).agg(F.sum(same).alias("same"), F.sum(different).alias("different"), F.count("*").alias("joint"))
-    # Blocks that only one has: both threads' block counts less twice the joint ones. Pairs without any joint block need every pair of the chain's threads.
-    counts = members.groupBy("thread").agg(F.countDistinct("block_id").alias("n"))
-    n1, n2 = ids.join(counts, "thread", "left").select(F.col("thread").alias("t1"), F.coalesce("n", F.lit(0)).alias("n1")), ids.join(counts, "thread", "left").select(F.col("thread").alias("t2"), F.coalesce("n", F.lit(0)).alias("n2"))
-    every = n1.join(n2, F.col("t1") < F.col("t2")).join(joint, ["t1", "t2"], "left").fillna(0, ["same", "different", "joint"])
-    return every.select("t1", "t2", F.col("same").cast("long").alias("same"), (F.col("different") + 2 * (F.col("n1") + F.col("n2") - 2 * F.col("joint"))).cast("long").alias("different"))
+    spark = members.sparkSession
+    ship(spark)
+    scratch = Scratch(spark, "breaks")
+    ids = scratch.save(threads.select("thread").filter("thread is not null").distinct(), "threads")
+    tiles = max(1, -(-ids.count() // tile))
+    dealt = scratch.save(ids.repartitionByRange(tiles, "thread").withColumn("tile", F.spark_partition_id()), "dealt")
+    kind = members.schema["thread"].dataType.simpleString()
+    rows = dealt.join(members.select("thread", *(F.col(c).cast("long").alias(c) for c in ("block_id", "left_block", "right_block"))), "thread", "left")
+    packed = scratch.save(rows.groupBy("tile").applyInArrow(_packed, f"tile int, threads array<{kind}>, " + ", ".join(f"{c} binary" for c in MEMBER)), "packed")
+    units = spark.range(tiles * tiles).select(F.floor(F.col("id") / tiles).cast("int").alias("tile1"), (F.col("id") % tiles).cast("int").alias("tile2")).filter("tile1 <= tile2")
+    side = lambda s: packed.select(*(F.col(c).alias(f"{c}{s}") for c in packed.columns))
+    units = units.hint("shuffle_merge").join(side(1), "tile1").hint("shuffle_merge").join(side(2), "tile2").repartition(max(1, tiles * (tiles + 1) // 2), "tile1", "tile2")
+    return units.mapInArrow(_pair_rows, f"t1 {kind}, t2 {kind}, same long, different long")
 
 
 def chain_distances(snps: DataFrame, breakpoints: DataFrame) -> DataFrame:

@@ -584,3 +584,25 @@ def test_grams_of_several_sets_come_back_in_bundles_and_parts(spark):
         got = distances.several_grams(frame.repartition(3), scratch, about, size).collect()
         assert {r.id: (r.n, list(r.live)) for r in got} == want and len(got) == len(want)
     assert "g:binary" in saved["several"]
+
+
+def test_breakpoints_are_counted_by_tiles_without_a_join_of_members(spark):
+    """Every tile size gives what pairs one by one give, for repeated members, null blocks and threads without blocks too; no pair is shuffled."""
+    rows = [(k * 5 % 11, f"t{k % 17:02d}", None if k % 4 == 0 else k % 3, None if k % 5 == 0 else k % 2) for k in range(150)] + [(None, "t03", 1, 1)]
+    names = sorted({r[1] for r in rows} | {"alone"})
+    n = {t: len({r[0] for r in rows if r[1] == t and r[0] is not None}) for t in names}
+    want = {}
+    for i, a in enumerate(names):
+        for c in names[i + 1 :]:
+            both = [(x, y) for x in rows for y in rows if x[1] == a and y[1] == c and x[0] is not None and x[0] == y[0]]
+            led = [(x, y) for x, y in both if x[2] is not None]
+            same = sum((x[2] == y[2]) + (x[3] is not None and x[3] == y[3]) for x, y in led)
+            want[a, c] = (same, sum((x[2] != y[2]) + (x[3] is None) for x, y in led) + 2 * (n[a] + n[c] - 2 * len(both)))
+    members = spark.createDataFrame(rows, "block_id long, thread string, left_block long, right_block long")
+    threads = spark.createDataFrame([(t,) for t in [*names, None]], "thread string")
+    for tile in (4096, 4):
+        out = blockgraph.breakpoint_pairs(members, threads, tile)
+        got = out.collect()
+        assert {(r.t1, r.t2): (r.same, r.different) for r in got} == want and len(got) == len(want)
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "MapInArrow" in plan and "Aggregate" not in plan
