@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -492,6 +493,37 @@ def test_full_blocks_are_passed_by_without_asking(monkeypatch):
     assert max(map(len, quick.blocks.values())) > 4
 
 
+def test_the_flat_fold_is_that_of_the_graph(monkeypatch):
+    """Blocks, their numbers, order and segments, with blocks over the limit, cuts of glued segments, matches within a thread and equal scores."""
+    monkeypatch.setattr(pinch, "MAX_DEGREE", 4)
+    single_copy = pinch.single_copy
+    for seed in range(4):
+        matches, threads = _random_matches(seed)
+        matches.loc[matches.index % 9 == 0, "strand"] = False
+        g = pinch.fold(matches, threads, lambda graph, one, two: single_copy(graph, one, two, 4), 3)
+        flat = pinch.Flat(threads, 4).fold(matches, 3)
+        assert {b: sorted((flat.threads[t], int(p - flat.base[t])) for p in at for t in [int(np.searchsorted(flat.base, p, "right")) - 1]) for b, at in flat.blocks.items()} == {b: sorted(segs) for b, segs in g.blocks.items()}
+        names = {b: k for k, b in enumerate(sorted(g.blocks, key=lambda b: min(g.blocks[b])))}
+        place = {b: (k, right) for k, (b, right) in enumerate(g.ordering())}
+        want = [(names[b], t, s, g.length((t, s)), *place[b], len(segs)) for b, segs in g.blocks.items() for t, s in segs]
+        rows = flat.rows()
+        got = list(zip(*(rows[c].tolist() for c in ("block", "thread", "start", "length", "pos", "right", "degree")), strict=True))
+        assert sorted(got) == sorted(want) and max(map(len, g.blocks.values())) > 4
+    with pytest.raises(IndexError):
+        pinch.Flat({t: 5 for t in threads}).fold(matches)
+
+
+def test_a_row_for_each_block_is_made_with_its_component(spark):
+    matches, threads = _random_matches(5)
+    frames = spark.createDataFrame(matches), spark.createDataFrame(list(threads.items()), "name string, length long")
+    every = pinch.pinch_blocks(*frames)
+    want = sorted(every.select("component", "block", "pos", "right").distinct().collect())
+    assert sorted(pinch.block_places(*frames).collect()) == want and len(want) < every.count()
+    plain = pinch.pinch_blocks(*frames, rule=lambda g, one, two: pinch.single_copy(g, one, two))
+    assert sorted(plain.collect()) == sorted(every.collect())
+    assert pinch.block_places(frames[0].filter("line < 0"), frames[1]).count() == 0
+
+
 def test_the_fold_does_not_depend_on_the_order_of_rows():
     matches, threads = _random_matches(2)
     matches["start1"] = matches["line"] % 50  # as of an order's lines: equal scores, lines and starts
