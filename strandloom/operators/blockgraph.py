@@ -7,7 +7,6 @@ in its block either way, a column strand says whether it lies forward.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
@@ -199,63 +198,143 @@ def graph_dot(segments: DataFrame, adjacencies: DataFrame) -> DataFrame:
 # --- pairs of threads over the blocks of a chain ------------------------------------------------
 
 
-def _letter_counts(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Agreeing letters of the threads of two tiles: rows (one, two, tile, block_id, thread, bases) of some blocks, all of a block's rows being there."""
-    one, two = pdf["one"].iloc[0], pdf["two"].iloc[0]
-    names, at = zip(*(np.unique(pdf.loc[pdf["tile"] == t, "thread"].to_numpy(), return_inverse=True) for t in (one, two)), strict=True)
-    place = np.empty(len(pdf), np.int64)
-    for t, x in zip((one, two), at, strict=True):
-        place[(pdf["tile"] == t).to_numpy()] = x
-    same, length, joint = (np.zeros((len(names[0]), len(names[1]))) for _ in range(3))
-    rows, tiles = pdf["bases"].to_numpy(), pdf["tile"].to_numpy()
-    for block in pdf.groupby("block_id").indices.values():
-        sides = [block[tiles[block] == t] for t in (one, two)]
-        width = len(rows[block[0]])
-        if any(len(rows[k]) != width for k in block):
+def _shut(x: np.ndarray) -> bytes:
+    return x.nbytes.to_bytes(8, "little") + pa.compress(np.ascontiguousarray(x).tobytes(), codec="zstd", asbytes=True)
+
+
+def _open(blob: pa.Buffer, kind: type) -> np.ndarray:
+    return np.frombuffer(pa.decompress(blob[8:], int.from_bytes(blob[:8].to_pybytes(), "little"), codec="zstd"), kind)
+
+
+BASES = {"at": np.uint32, "block": np.int64, "width": np.int32, "letters": np.uint8}
+
+
+def _packed_bases(group: pa.Table) -> pa.Table:
+    """A tile's bases as one row: its threads in order, and by block each segment's thread's place, block, length and letters, as compressed bytes."""
+    threads = group["thread"].combine_chunks()
+    keys = threads.unique()
+    keys = keys.take(pc.sort_indices(keys))
+    here = np.flatnonzero(np.asarray(pc.is_valid(group["bases"])))
+    at, block = np.asarray(pc.index_in(threads, keys)).astype(np.uint32)[here], np.asarray(pc.fill_null(group["block_id"], 0)).astype(np.int64)[here]
+    order = np.lexsort((at, block))
+    bases = group["bases"].combine_chunks().take(pa.array(here[order]))
+    columns = {"at": at[order], "block": block[order], "width": np.asarray(pc.binary_length(bases)).astype(np.int32), "letters": np.frombuffer(b"".join(bases.to_pylist()), np.uint8)}
+    one = {c: pa.array([_shut(x)], pa.binary()) for c, x in columns.items()}
+    return pa.table({"tile": group["tile"].combine_chunks().slice(0, 1), "threads": pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys), **one})
+
+
+def _by_block(side: dict) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Places and letters (a row each) of the segments of each block."""
+    blocks, first = np.unique(side["block"], return_index=True)
+    ends = np.concatenate([[0], np.cumsum(side["width"], dtype=np.int64)])
+    out = {}
+    for b, low, high in zip(blocks.tolist(), first.tolist(), [*first[1:].tolist(), len(side["block"])], strict=True):
+        width = side["width"][low:high]
+        if (width != width[0]).any():
             raise ValueError("bases of a block must be equally long")
-        x, y = (np.frombuffer(b"".join(rows[k]), np.uint8).reshape(len(k), width) for k in sides)
-        (p, n), (q, m) = (np.unique(place[k], return_counts=True) for k in sides)
-        here = np.ix_(p, q)
-        joint[here] += np.outer(n, m)
-        length[here] += np.outer(n, m) * width
-        for letter in np.intersect1d(x, y):
-            # A thread's segments in one block are added up first; products of small counts are exact.
-            a, b = np.zeros((len(p), width), np.float32), np.zeros((len(q), width), np.float32)
-            np.add.at(a, np.searchsorted(p, place[sides[0]]), x == letter)
-            np.add.at(b, np.searchsorted(q, place[sides[1]]), y == letter)
-            same[here] += a @ b.T
-    i, j = np.nonzero(joint)
-    if one == two:
-        i, j = i[i < j], j[i < j]
-    t1, t2 = names[0][i], names[1][j]
-    low = t1 < t2
-    total, agree = length[i, j].astype(np.int64), same[i, j].astype(np.int64)
-    return pd.DataFrame({"t1": np.where(low, t1, t2), "t2": np.where(low, t2, t1), "same": agree, "different": total - agree})
-
-
-def snp_pairs(aligned: DataFrame, tile: int = 256, blocks: int = 1024) -> DataFrame:
+        out[b] = side["at"][low:high].astype(np.int64), side["letters"][ends[low] : ends[high]].reshape(high - low, -1)
+    return out
+
+
+def _one_hot(at: np.ndarray, letters: np.ndarray, alphabet: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, how many segments each has, and their letters as counts: a column for each position and letter. A thread's segments in one block are added up."""
+    x = (letters[:, :, None] == alphabet).reshape(len(at), -1)
+    places, first, n = np.unique(at, return_index=True, return_counts=True)
+    return places, n, x.astype(np.float32) if len(places) == len(at) else np.add.reduceat(x, first, axis=0, dtype=np.float32)
+
+
+def _letter_counts(one: dict, two: dict, shape: tuple[int, int], strip: int = 1024):
+    """(start, same, length, joint) of the threads of one tile from ``start`` on with all of another: agreeing and all letters of the blocks that both have, and whether they have any."""
+    first, second = _by_block(one), _by_block(two)
+    blocks = [b for b in first if b in second]
+    for b in blocks:
+        if first[b][1].shape[1] != second[b][1].shape[1]:
+            raise ValueError("bases of a block must be equally long")
+    for start in range(0, shape[0], strip):
+        size = min(strip, shape[0] - start), shape[1]
+        same, length, joint = np.zeros(size), np.zeros(size), np.zeros(size, bool)
+        for b in blocks:
+            (at, x), (to, y) = first[b], second[b]
+            low, high = np.searchsorted(at, (start, start + strip))
+            if low == high:
+                continue
+            x = x[low:high]
+            alphabet = np.intersect1d(x, y)
+            (p, n, x), (q, m, z) = _one_hot(at[low:high] - start, x, alphabet), _one_hot(to, y, alphabet)
+            here = np.ix_(p, q)
+            joint[here] = True
+            length[here] += y.shape[1] if n.max() == m.max() == 1 else np.outer(n, m) * y.shape[1]
+            same[here] += x @ z.T  # products of small counts are exact
+        yield start, same, length, joint
+
+
+def _dealt(threads: DataFrame, tile: int | None, scratch: Scratch) -> tuple[DataFrame, int]:
+    """Threads cut in their order into tiles: of 256 while there are few, so that there are tasks for all, and of 4096 at most."""
+    ids = scratch.save(threads.select("thread").filter("thread is not null").distinct(), "threads")
+    n = ids.count()
+    tiles = max(1, -(-n // (tile or min(4096, max(256, n // 8)))))
+    return scratch.save(ids.repartitionByRange(tiles, "thread").withColumn("tile", F.spark_partition_id()), "dealt"), tiles
+
+
+def _units(packed: DataFrame, tiles: int) -> DataFrame:
+    """Each pair of tiles as a row with the columns of both; a tile is shuffled once for each other one."""
+    side = lambda s: packed.select(*(F.col(c).alias(f"{c}{s}") for c in packed.columns))
+    one = side(1).withColumn("tile2", F.explode(F.sequence(F.col("tile1"), F.lit(tiles - 1))))
+    two = side(2).withColumn("tile1", F.explode(F.sequence(F.lit(0), F.col("tile2"))))
+    one, two = (x.repartition(max(2, tiles * (tiles + 1) // 2), "tile1", "tile2") for x in (one, two))
+    return one.hint("shuffle_merge").join(two, ["tile1", "tile2"])
+
+
+def _written(first, second, diagonal: bool, start: int, counts: list[np.ndarray], wanted: np.ndarray, names: list[str]):
+    """Rows of the pairs (a thread of one tile from ``start`` on, one of the other) that are wanted, some at a time."""
+    for k in range(0, len(wanted), step := max(1, (1 << 18) // max(1, len(second)))):
+        part = np.s_[k : k + step]
+        i, j = np.nonzero(wanted[part])
+        if diagonal:
+            i, j = i[keep := i + start + k < j], j[keep]
+        yield pa.RecordBatch.from_arrays([first.take(pa.array(i + start + k)), second.take(pa.array(j)), *(pa.array(m[part][i, j].astype(np.int64)) for m in counts)], names=["t1", "t2", *names])
+
+
+def _sides(x: dict, kinds: dict, prefix: str = "", read=_open) -> list[dict]:
+    return [{c: read(x[f"{prefix}{c}{s}"].as_buffer(), kind) for c, kind in kinds.items()} for s in (1, 2)]
+
+
+def _snp_rows(batches):
+    for batch in batches:
+        for k in range(batch.num_rows):
+            x = {c: batch[c][k] for c in batch.schema.names}
+            first, second = x["threads1"].values, x["threads2"].values
+            for start, same, length, joint in _letter_counts(*_sides(x, BASES), (len(first), len(second))):
+                yield from _written(first, second, x["tile1"] == x["tile2"], start, [same, length - same], joint, ["same", "different"])
+
+
+def _plain_bases(aligned: DataFrame) -> DataFrame:
+    bases = F.col("bases")
+    plain = F.when(F.octet_length(bases) == F.length(bases), F.upper(bases).cast("binary")).otherwise(F.raise_error(F.lit("sequences are ASCII")).cast("binary"))
+    return aligned.filter("block_id is not null and thread is not null and bases is not null").select("thread", "block_id", plain.alias("bases"))
+
+
+def _packed_tiles(dealt: DataFrame, rows: DataFrame, pack, kinds: dict) -> DataFrame:
+    kind = dealt.schema["thread"].dataType.simpleString()
+    return dealt.join(rows, "thread", "left").groupBy("tile").applyInArrow(pack, f"tile int, threads array<{kind}>, " + ", ".join(f"{c} binary" for c in kinds))
+
+
+def snp_pairs(aligned: DataFrame, tile: int | None = None, blocks: int | None = None) -> DataFrame:
     """(t1, t2, same, different) summed over blocks of aligned(block_id, thread, bases) with equally long bases in a block.
 
     Letters agree whatever their case; sequences are ASCII, others raise. Rows without block, thread or bases take no part.
-    Threads are dealt into tiles of about ``tile``; a pair of tiles that share blocks counts all its pairs of threads by products of
-    one-hot matrices, about ``blocks`` blocks to a task. So rows are repeated once for each tile that their block meets, and pairs are not listed by block.
+    Threads are cut in their order into tiles of about ``tile``; two tiles meet in one row that holds the bases of both, and all their pairs of threads are
+    counted there, block by block, by products of one-hot matrices. So each tile is shuffled once for each other one, and pairs are only written. ``blocks`` is no longer read.
     """
     spark = aligned.sparkSession
     ship(spark)
     scratch = Scratch(spark, "snps")
-    bases = F.col("bases")
-    plain = F.when(F.octet_length(bases) == F.length(bases), F.upper(bases).cast("binary")).otherwise(F.raise_error(F.lit("sequences are ASCII")).cast("binary"))
-    rows = scratch.save(aligned.filter("block_id is not null and thread is not null and bases is not null").select("block_id", "thread", plain.alias("bases")), "aligned")
-    size = rows.agg(F.approx_count_distinct("thread").alias("threads"), F.approx_count_distinct("block_id").alias("blocks")).first()
-    tiles, parts = max(1, -(-size.threads // tile)), max(1, -(-size.blocks // blocks))
-    rows = rows.withColumn("tile", F.pmod(F.xxhash64("thread"), F.lit(tiles)))
-    have = rows.select("block_id", "tile").distinct()
-    a, b = have.alias("a"), have.alias("b")
-    pairs = a.join(b, (F.col("a.block_id") == F.col("b.block_id")) & (F.col("a.tile") <= F.col("b.tile"))).select("a.block_id", F.col("a.tile").alias("one"), F.col("b.tile").alias("two"))
-    ends = pairs.withColumn("tile", F.explode(F.array_distinct(F.array("one", "two")))).withColumn("part", F.pmod(F.xxhash64("block_id"), F.lit(parts)))
+    rows = scratch.save(_plain_bases(aligned), "aligned")
+    dealt, tiles = _dealt(rows, tile, scratch)
+    packed = scratch.save(_packed_tiles(dealt, rows, _packed_bases, BASES), "packed")
+    scratch.drop(rows)
     kind = aligned.schema["thread"].dataType.simpleString()
-    out = rows.join(ends, ["block_id", "tile"]).select("one", "two", "part", "tile", "block_id", "thread", "bases").groupBy("one", "two", "part").applyInPandas(_letter_counts, f"t1 {kind}, t2 {kind}, same long, different long")
-    return out if parts == 1 else out.groupBy("t1", "t2").agg(F.sum("same").alias("same"), F.sum("different").alias("different"))
+    return _units(packed, tiles).mapInArrow(_snp_rows, f"t1 {kind}, t2 {kind}, same long, different long")
 
 
 def _packed(group: pa.Table) -> pa.Table:
@@ -368,6 +447,42 @@ def breakpoint_pairs(members: DataFrame, threads: DataFrame, tile: int = 4096) -
     return units.mapInArrow(_pair_rows, f"t1 {kind}, t2 {kind}, same long, different long")
 
 
+def _shut_members(group: pa.Table) -> pa.Table:
+    packed = _packed(group)
+    columns = {c: np.frombuffer(packed[c][0].as_buffer(), kind) for c, kind in MEMBER.items()}
+    order = np.lexsort((columns["at"], columns["block"]))
+    return pa.table({"tile": packed["tile"], "threads": packed["threads"], **{c: pa.array([_shut(x[order])], pa.binary()) for c, x in columns.items()}})
+
+
+def _chain_rows(batches):
+    for batch in batches:
+        for k in range(batch.num_rows):
+            x = {c: batch[c][k] for c in batch.schema.names}
+            first, second = x["threads1"].values, x["threads2"].values
+            shape = len(first), len(second)
+            kept, missed = _breaks_of(*_sides(x, MEMBER, "m_"), shape)
+            for start, same, length, _ in _letter_counts(*_sides(x, BASES), shape):
+                rows = np.s_[start : start + len(same)]
+                yield from _written(first, second, x["tile1"] == x["tile2"], start, [same, length - same, kept[rows], missed[rows]], np.ones(same.shape, bool), ["s_same", "s_different", "b_same", "b_different"])
+
+
+def chain_pairs(aligned: DataFrame, members: DataFrame, threads: DataFrame, tile: int | None = None) -> DataFrame:
+    """(t1, t2, snp, breakpoint, distance): ``chain_distances`` of ``snp_pairs`` and ``breakpoint_pairs``, both counted where two tiles meet, so that no pair is shuffled."""
+    spark = aligned.sparkSession
+    ship(spark)
+    scratch = Scratch(spark, "chain")
+    dealt, tiles = _dealt(threads, tile, scratch)
+    numbers = [F.col(c).cast("long").alias(c) for c in ("block_id", "left_block", "right_block")]
+    packed = scratch.save(_packed_tiles(dealt, _plain_bases(aligned), _packed_bases, BASES), "bases")
+    other = scratch.save(_packed_tiles(dealt, members.select("thread", *numbers), _shut_members, MEMBER), "members")
+    both = packed.join(other.select("tile", *(F.col(c).alias(f"m_{c}") for c in MEMBER)), "tile")
+    kind = dealt.schema["thread"].dataType.simpleString()
+    rows = _units(both, tiles).mapInArrow(_chain_rows, f"t1 {kind}, t2 {kind}, s_same long, s_different long, b_same long, b_different long")
+    share = lambda p: F.coalesce(F.try_divide(F.col(f"{p}_different").cast("double"), (F.col(f"{p}_same") + F.col(f"{p}_different")).cast("double")), F.lit(0.0))
+    rows = rows.select("t1", "t2", jukes_cantor_different(share("s")).alias("snp"), share("b").alias("breakpoint"))
+    return rows.withColumn("distance", F.col("snp") + F.col("breakpoint"))
+
+
 def chain_distances(snps: DataFrame, breakpoints: DataFrame) -> DataFrame:
     """(t1, t2, snp, breakpoint, distance): corrected differing share of bases plus differing share of neighbours; a share of nothing is 0."""
     share = lambda p: F.coalesce(F.try_divide(F.col(f"{p}.different").cast("double"), (F.col(f"{p}.same") + F.col(f"{p}.different")).cast("double")), F.lit(0.0))
