@@ -618,6 +618,24 @@ def test_grams_of_several_sets_come_back_in_bundles_and_parts(spark):
     assert "g:binary" in saved["several"]
 
 
+def test_chain_distances_are_made_where_tiles_meet(spark):
+    """Both counts in one pass: what the two tables of pairs give when they are joined, without a pair in a shuffle."""
+    rows = [(k * 5 % 11, f"t{k % 17:02d}", None if k % 4 == 0 else k % 3, None if k % 5 == 0 else k % 2, "".join("ACGTn"[(k * x + k // 3) % 5] for x in range(9))) for k in range(150)]
+    rows += [(40, "lone", 1, None, "ACGTACG"), (None, "t03", 1, 1, "AC"), (3, "none", None, None, None)]
+    frame = spark.createDataFrame(rows, "block_id long, thread string, left_block long, right_block long, bases string")
+    members, aligned = frame.drop("bases"), frame.select("block_id", "thread", "bases")
+    want = blockgraph.chain_distances(blockgraph.snp_pairs(aligned), blockgraph.breakpoint_pairs(members, members))
+    for tile in (None, 4):
+        out = blockgraph.chain_pairs(aligned, members, members, tile)
+        assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    snps = blockgraph.snp_pairs(aligned, 4)
+    for df in (out, snps):
+        plan = df._jdf.queryExecution().analyzed().toString()
+        assert "MapInArrow" in plan and "Aggregate" not in plan
+    with pytest.raises(Exception, match="equally long"):
+        blockgraph.snp_pairs(spark.createDataFrame([(1, 1, "AC"), (1, 2, "ACG")], "block_id long, thread long, bases string")).collect()
+
+
 def test_similar_sets_leave_only_what_their_results_read(spark):
     """Classes and candidates go, and what was shuffled for them is let go, before the pairs are used."""
     frame = spark.createDataFrame([(k, [1, 2, 3, 4, 100 + k]) for k in range(6)] + [(k, [1, 2, 3, 4, 5]) for k in (6, 7)], "id long, grams array<long>")
