@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from strandloom.llm.blobs import Reader, Writer
+from strandloom.blobs import Reader, Writer
 from strandloom.operators.components import connected_components
 from strandloom.runtime import Scratch, ship
 

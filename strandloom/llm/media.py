@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from strandloom.llm.blobs import store_of
+from strandloom.blobs import store_of
 from strandloom.runtime import Scratch, ship
 
 WIDTH = 576

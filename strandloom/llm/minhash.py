@@ -25,7 +25,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from strandloom.llm.blobs import Reader, Writer
+from strandloom.blobs import Reader, Writer
 from strandloom.llm.embeddings import Forest
 from strandloom.operators.components import connected_components
 from strandloom.runtime import Scratch, ship

@@ -636,6 +636,26 @@ def test_chain_distances_are_made_where_tiles_meet(spark):
         blockgraph.snp_pairs(spark.createDataFrame([(1, 1, "AC"), (1, 2, "ACG")], "block_id long, thread long, bases string")).collect()
 
 
+def test_shared_grams_are_counted_by_tiles(spark):
+    """Every pair with its count, whatever the tiles, with grams in most sets and copies; no pair is shuffled or joined by a gram."""
+    import random
+
+    rng = random.Random(9)
+    sets = [sorted({rng.choice([rng.randrange(12), rng.randrange(300), -rng.randrange(10**9)]) for _ in range(rng.randint(1, 20))}) for _ in range(50)]
+    sets += [*sets[:5], [10**12], [-1, -2]]
+    want = {(i, j): (m, len(x), len(y)) for j, y in enumerate(sets) for i, x in enumerate(sets[:j]) if (m := len(set(x) & set(y)))}
+    frame = spark.createDataFrame(list(enumerate(sets)), "id long, grams array<long>")
+    for tile in (2048, 9):
+        out = distances.shared_grams(frame, tile=tile)
+        got = out.collect()
+        assert {(r.i, r.j): (r.m, r.len_i, r.len_j) for r in got} == want and len(got) == len(want)
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "MapInArrow" in plan and "Aggregate" not in plan
+    grams, at = np.array([1, 1, 1, 2, 2, 3], np.uint64), np.array([0, 1, 2, 0, 2, 1], np.uint32)
+    for step in (1, 4, 1 << 22):
+        assert distances._tile_hits((grams, at), (grams, at), (3, 3), step).tolist() == [[2, 1, 2], [1, 2, 1], [2, 1, 2]]
+
+
 def test_similar_sets_leave_only_what_their_results_read(spark):
     """Classes and candidates go, and what was shuffled for them is let go, before the pairs are used."""
     frame = spark.createDataFrame([(k, [1, 2, 3, 4, 100 + k]) for k in range(6)] + [(k, [1, 2, 3, 4, 5]) for k in (6, 7)], "id long, grams array<long>")
