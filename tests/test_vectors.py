@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandloom.functions import sequence as fn
-from strandloom.operators import aligning, blockgraph, candidates, distances, intervals, pinch, tree
+from strandloom.operators import aligning, blockgraph, candidates, distances, intervals, pinch, seeds, tree
 from strandloom.operators.components import connected_components
 from strandloom.plans.pipeline import aligned_pairs, library_plan
 from strandloom.runtime import Scratch
@@ -262,6 +262,70 @@ def test_seed_alignments_and_annotation(spark):
     assert places[0].end >= 418
 
 
+def _seeds_by_hand(rows, k, least=1):
+    """(q, t, diagonal): [places of q's shared seeds], pair by pair."""
+    at = [(name, p, seq.upper()[p : p + k]) for name, seq in rows for p in range(len(seq) - k + 1) if "N" not in seq.upper()[p : p + k]]
+    found = {}
+    for q, x, one in at:
+        for t, y, two in at:
+            if one == two and q != t:
+                found.setdefault((q, t, y - x), []).append(x)
+    return {key: x for key, x in found.items() if len(x) >= least}
+
+
+def test_seed_alignments_make_no_row_for_a_shared_seed(spark):
+    import random
+
+    rng = random.Random(21)
+    dna = lambda n, letters="ACGT": "".join(rng.choice(letters) for _ in range(n))
+    line = dna(30)
+    rows = [(f"s{i}", dna(rng.randrange(9), "acgtN") + (line if i % 3 else line[:14] + "N" + line[13:]) * (1 + i % 2) + dna(rng.randrange(9))) for i in range(24)]
+    rows += [("s1", dna(4) + line), ("r", "AC" * 20), ("p", "CA" * 9 + "N" + "A" * 12), ("o", "\u00e9\u00dfACGT\u00e9ACGTA"), ("o2", "\u00c9SSACGT\u00c9ACGTAC")]
+    seqs = spark.createDataFrame([*rows, (None, line), ("none", None), ("short", "ACG")], "name string, seq string")
+    upper = [(n, s.upper()) for n, s in rows]
+    for k in (6, 9):
+        scratch = Scratch(spark, "seeds")
+        marks = scratch.save(seeds.seed_marks(seqs, k, scratch, size=100), "kept")
+        for tile in (5, 100):
+            got = {(r.q, r.t, r.diagonal): (r.qs, r.qe, r.ts, r.te, r.seeds) for r in seeds.diagonals(marks, k, scratch, tile=tile).collect()}
+            want = _seeds_by_hand(upper, k, 2)
+            assert got == {(q, t, d): (min(x), max(x) + k, min(x) + d, max(x) + d + k, len(x)) for (q, t, d), x in want.items()}
+        top = {}
+        for (q, t, d), x in sorted(want.items(), key=lambda r: (r[0][0], -len(r[1]), r[0][1], r[0][2])):
+            top.setdefault(q, []).append((t, d))
+        got = aligning.depth_cap(seeds.diagonals(marks, k, scratch, depth=2, tile=5), ["q"], [F.desc("seeds"), F.asc("t"), F.asc("diagonal")], 2).collect()
+        assert sorted((r.q, r.t, r.diagonal) for r in got) == sorted((q, *x) for q, xs in top.items() for x in xs[:2])
+    # Where all have the line, what is kept of each is its ends, not its 22 seeds.
+    same = spark.createDataFrame([(f"s{i}", line) for i in range(50)], "name string, seq string")
+    marks = seeds.seed_marks(same, 9, Scratch(spark, "seeds"))
+    assert {(len(r["first"]), len(r["last"])) for r in marks.collect()} == {(1, 1)}
+    assert {r.seeds for r in aligning.seed_alignments(same, 9, depth=None).collect()} == {22}
+
+
+def test_diagonals_of_tiles_come_in_blocks():
+    rng = np.random.default_rng(3)
+
+    def side(n, far=0):
+        g, doc, at, letter = rng.integers(0, 4, n).astype(np.uint64), rng.integers(0, 5, n).astype(np.uint32), rng.permutation(n).astype(np.uint32) + far, rng.integers(0, 4, n).astype(np.uint32)
+        order = np.lexsort((letter, g))
+        return seeds._Side(g[order], doc[order], at[order], letter[order])
+
+    for far in (0, 1 << 30):
+        one, two = side(60, np.uint32(far)), side(80)
+        for same in (False, True):
+            other = one if same else two
+            want = {}
+            for i in range(len(one.g)):
+                for j in range(len(other.g)):
+                    if one.g[i] == other.g[j] and (one.letter[i] != other.letter[j] or one.letter[i] == 0) and (not same or one.doc[i] < other.doc[j]):
+                        want.setdefault((int(one.doc[i]), int(other.doc[j]), int(other.at[j]) - int(one.at[i])), []).append(int(one.at[i]))
+            for size in (2, 50, 1 << 20):
+                blocks = list(seeds._diagonals([one, one], [other, other], 1, same, size))
+                got = [tuple(map(int, x)) for b in blocks for x in zip(*b, strict=True)]
+                assert got == [(*key, min(x), max(x) + 1, len(x)) for key, x in sorted(want.items())]
+            assert len(list(seeds._diagonals([one, one], [other, other], 1, same, 2))) > 5
+
+
 def test_mask_tandem_repeats(spark):
     df = spark.createDataFrame([("a", "ACGT" + "CA" * 6 + "TTGG"), ("b", "ACGTTGCA")], "name string, seq string")
     got = {r.name: r.seq for r in candidates.mask_tandem_repeats(df).collect()}
