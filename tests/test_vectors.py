@@ -399,6 +399,27 @@ def test_plan_keeps_all_copies_in_a_family(spark):
     assert {(r.name, r.cluster_id) for r in again["families"].collect()} == want
 
 
+def test_the_library_keeps_no_row_for_each_alignment(spark, monkeypatch):
+    import random
+
+    rng = random.Random(19)
+    dna = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    line, cores = dna(26), [dna(150) for _ in range(4)]
+    rows = [(f"s{i:02}", dna(90) + line + dna(90)) for i in range(40)] + [(f"c{i:02}", dna(i % 5) + cores[i % 4] + line + cores[i % 4][:60]) for i in range(16)]
+    seqs = spark.createDataFrame(rows, "name string, seq string")
+    saved, save = [], Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name: saved.append(save(self, df, name)) or saved[-1])
+    out = library_plan(spark, seqs, until="consensus")
+    tables = max(t.count() for t in saved if spark._jvm.java.io.File(t._scratch_path.removeprefix("file:")).exists())
+    every = out["all_alignments"]
+    assert every.count() > 2500 and tables < 1000
+    # The same as of all alignments.
+    again = library_plan(spark, seqs, until="consensus", ready={"masked": out["masked"], "all_alignments": every})
+    for stage in ("alignments", "families", "consensus"):
+        one, two = (sorted(map(tuple, x[stage].collect())) for x in (out, again))
+        assert one and one == two
+
+
 def test_aligned_pairs_count_a_place_once(spark):
     rows = [("a", "b", 0, 0, 60, 0, 60), ("b", "a", 0, 0, 60, 0, 60), ("b", "a", 5, 50, 100, 55, 105)]
     got = aligned_pairs(spark.createDataFrame(rows, "q string, t string, diagonal long, qs long, qe long, ts long, te long")).collect()
