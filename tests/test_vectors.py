@@ -302,6 +302,28 @@ def test_seed_alignments_make_no_row_for_a_shared_seed(spark):
     assert {r.seeds for r in aligning.seed_alignments(same, 9, depth=None).collect()} == {22}
 
 
+def test_bands_of_windows_add_up(spark):
+    import collections
+    import random
+
+    rng = random.Random(17)
+    dna = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    a, b = dna(150), dna(90)
+    lib = [("a", a), ("b", b), ("r", "AC" * 40), ("n", a[:70] + "N" + b[:60])]
+    gen = [("x", dna(300) + a + dna(77) + b + dna(30) + a[20:120]), ("y", "CA" * 120 + dna(50) + a.lower()), ("w", b)]
+    want = collections.defaultdict(set)
+    for name, x in lib:
+        for chrom, y in gen:
+            for i in range(len(x) - 10):
+                for j in range(len(y) - 10):
+                    if x[i : i + 11] == y.upper()[j : j + 11]:
+                        want[name, chrom, (j - i) // 32].add(j)
+    want = sorted((*key, min(x), max(x) + 11, len(x)) for key, x in want.items() if len(x) >= 5)
+    tables = [spark.createDataFrame([*rows, ("none", None), ("short", "AC")], "name string, seq string") for rows in (lib, gen)]
+    for size in (64, 100, 1 << 20):
+        assert sorted(map(tuple, seeds.bands(*tables, 11, Scratch(spark, "bands"), least=5, size=size).collect())) == want
+
+
 def test_diagonals_of_tiles_come_in_blocks():
     rng = np.random.default_rng(3)
 
