@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -809,3 +810,28 @@ def test_breakpoints_are_counted_by_tiles_without_a_join_of_members(spark):
         assert {(r.t1, r.t2): (r.same, r.different) for r in got} == want and len(got) == len(want)
     plan = out._jdf.queryExecution().analyzed().toString()
     assert "MapInArrow" in plan and "Aggregate" not in plan
+
+
+def _as_batches(matches, threads, rows=7):
+    """Rows as ``pinch._flat_components`` has them, few at a time, with a match and a thread that are not to count."""
+    unknown = matches.iloc[:1].assign(name2="nowhere")
+    own = pd.DataFrame({"name1": list(threads), "size": list(threads.values())})
+    every = pd.concat([matches, unknown, own, pd.DataFrame({"name1": ["alone"], "size": [9]})]).assign(component=5)
+    schema = pa.schema([("component", pa.int64()), *((c, pa.string()) for c in ("name1", "name2")), *((c, pa.int64()) for c in ("start1", "start2", "length", "line", "score", "size")), ("strand", pa.bool_())])
+    return iter(pa.Table.from_pandas(every, schema=schema, preserve_index=False).to_batches(rows))
+
+
+def test_components_are_glued_from_batches_of_rows(spark):
+    """No rows of a whole component are objects of Python, and only threads of matches belong to it."""
+    for seed in range(3):
+        matches, threads = _random_matches(seed)
+        g = pinch.fold(matches, threads, pinch.single_copy, 3)
+        component, flat = pinch._flat(_as_batches(matches, threads), 3)
+        assert component == 5 and flat.threads == sorted({*matches["name1"], *matches["name2"]})
+        assert {b: len(segs) for b, segs in g.blocks.items()} == {b: len(at) for b, at in flat.blocks.items()} and flat.acyclic() == g.acyclic()
+        assert pinch._flat(_as_batches(matches.iloc[:0], threads), 3) is None
+    frames = spark.createDataFrame(matches), spark.createDataFrame(list(threads.items()), "name string, length long")
+    facts = pinch.component_facts(*frames, wanted=("acyclic", "n_blocks"))
+    assert "FlatMapGroupsInPandas" not in facts._jdf.queryExecution().toString()
+    plain = pinch.component_facts(*frames, rule=lambda g, one, two: pinch.single_copy(g, one, two), wanted=("acyclic", "n_blocks"))
+    assert facts.collect() == plain.collect() and facts.count() == 1
