@@ -835,3 +835,12 @@ def test_components_are_glued_from_batches_of_rows(spark):
     assert "FlatMapGroupsInPandas" not in facts._jdf.queryExecution().toString()
     plain = pinch.component_facts(*frames, rule=lambda g, one, two: pinch.single_copy(g, one, two), wanted=("acyclic", "n_blocks"))
     assert facts.collect() == plain.collect() and facts.count() == 1
+
+
+def test_the_flat_fold_has_the_graph_s_dense_path():
+    for seed in range(8):
+        matches, threads = _random_matches(seed)
+        g, flat = pinch.fold(matches, threads, pinch.single_copy, 3), pinch.Flat(threads).fold(matches, 3)
+        names = {b: k for k, b in enumerate(sorted(g.blocks, key=lambda b: min(g.blocks[b])))}
+        assert flat.dense_path() == [names[b] for b in g.dense_path()] and len(g.dense_path()) > 1
+    assert pinch.Flat({"a": 5}).dense_path() == []
