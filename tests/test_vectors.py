@@ -844,3 +844,12 @@ def test_the_flat_fold_has_the_graph_s_dense_path():
         names = {b: k for k, b in enumerate(sorted(g.blocks, key=lambda b: min(g.blocks[b])))}
         assert flat.dense_path() == [names[b] for b in g.dense_path()] and len(g.dense_path()) > 1
     assert pinch.Flat({"a": 5}).dense_path() == []
+
+
+def test_glued_segments_leave_in_batches(spark):
+    matches, threads = _random_matches(5)
+    frames = spark.createDataFrame(matches), spark.createDataFrame(list(threads.items()), "name string, length long")
+    found = pinch.pinch_blocks(*frames)
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().toString()
+    plain = pinch.pinch_blocks(*frames, rule=lambda g, one, two: pinch.single_copy(g, one, two))
+    assert sorted(found.collect()) == sorted(plain.collect())
