@@ -853,3 +853,11 @@ def test_glued_segments_leave_in_batches(spark):
     assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().toString()
     plain = pinch.pinch_blocks(*frames, rule=lambda g, one, two: pinch.single_copy(g, one, two))
     assert sorted(found.collect()) == sorted(plain.collect())
+
+
+def test_blocks_are_ordered_without_rows_of_their_segments():
+    matches, threads = _random_matches(6)
+    flat = pinch.Flat(threads).fold(matches)
+    rows = flat.rows()
+    assert sorted(zip(*(x.tolist() for x in flat.order()), strict=True)) == sorted({*zip(rows["block"].tolist(), rows["pos"].tolist(), strict=True)})
+    assert len(flat.order()[0]) == len(flat.blocks) < len(rows["block"])
