@@ -861,3 +861,14 @@ def test_blocks_are_ordered_without_rows_of_their_segments():
     rows = flat.rows()
     assert sorted(zip(*(x.tolist() for x in flat.order()), strict=True)) == sorted({*zip(rows["block"].tolist(), rows["pos"].tolist(), strict=True)})
     assert len(flat.order()[0]) == len(flat.blocks) < len(rows["block"])
+
+
+def test_the_flat_fold_reaches_what_the_graph_s_walk_reaches():
+    few = 0
+    for seed in range(20):
+        matches, threads = _random_matches(seed, n=3 + seed)
+        g, flat = pinch.fold(matches, threads, pinch.single_copy), pinch.Flat(threads).fold(matches)
+        there = g.reached((min(g.cuts), 0))
+        assert flat.reached() == [t for t in sorted(g.cuts) if (t, g.cuts[t][-2]) in there]
+        few += len(flat.reached()) < len(threads)
+    assert few
