@@ -872,3 +872,14 @@ def test_the_flat_fold_reaches_what_the_graph_s_walk_reaches():
         assert flat.reached() == [t for t in sorted(g.cuts) if (t, g.cuts[t][-2]) in there]
         few += len(flat.reached()) < len(threads)
     assert few
+
+
+def test_pairs_of_tiles_travel_without_their_sets(spark, monkeypatch):
+    """What is shuffled for two tiles does not grow with the sets in them; ids of any kind come back."""
+    frame = spark.createDataFrame([(f"d{k:03}", [k % 7, 100 + k % 3, 1000 + k]) for k in range(40)], "id string, grams array<long>")
+    met = []
+    plain = type(frame).hint
+    monkeypatch.setattr(type(frame), "hint", lambda self, name, *a: met.append(self) or plain(self, name, *a))
+    got = {(r.i, r.j): r.m for r in distances.shared_grams(frame, tile=9).collect()}
+    assert met and not any(x.dataType.typeName() in ("array", "binary") for df in met for x in df.schema)
+    assert got == {(f"d{i:03}", f"d{j:03}"): (i % 7 == j % 7) + (i % 3 == j % 3) for j in range(40) for i in range(j) if i % 7 == j % 7 or i % 3 == j % 3}
